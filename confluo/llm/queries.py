@@ -19,6 +19,13 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from confluo.llm.substring_dedup import substring_dedup
+
+    out = substring_dedup(_table(spark, sf_dir, "documents").select("doc_id", "text"), size=20)
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from confluo.llm.simhash import simhash_dedup
 
@@ -50,12 +57,21 @@ def op8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from confluo.llm.suffix_dedup import suffix_dedup
+
+    out = suffix_dedup(_table(spark, sf_dir, "documents").select("doc_id", "text"), least=400)
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
+    "op2_substring_dedup": op2_substring_dedup,
     "op3_simhash": op3_simhash,
     "op6_quality": op6_quality,
     "op7_decontaminate": op7_decontaminate,
     "op8_topk": op8_topk,
+    "op9_suffix_dedup": op9_suffix_dedup,
 }
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
