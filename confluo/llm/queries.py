@@ -32,6 +32,15 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup(_table(spark, sf_dir, "documents"), shingle=3, radius=3)
 
 
+def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from confluo.llm.language_model import lm_score
+
+    held_out = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(7)) == 2
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = lm_score(docs, ~held_out)
+    return out.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from confluo.llm.quality import score_quality, train_quality
 
@@ -68,6 +77,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_substring_dedup": op2_substring_dedup,
     "op3_simhash": op3_simhash,
+    "op5_lm_score": op5_lm_score,
     "op6_quality": op6_quality,
     "op7_decontaminate": op7_decontaminate,
     "op8_topk": op8_topk,
