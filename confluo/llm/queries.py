@@ -32,6 +32,14 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup(_table(spark, sf_dir, "documents"), shingle=3, radius=3)
 
 
+def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from confluo.llm.licenses import scan_licenses
+
+    found = scan_licenses(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    best = F.get("licenses", F.lit(0))
+    return found.select("doc_id", best["license"].alias("license"), best["coverage"].alias("coverage"), best["start"].alias("start_word"), best["end"].alias("end_word"), F.size("licenses").cast("long").alias("n_found"))
+
+
 def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     from confluo.llm.language_model import lm_score
 
@@ -77,6 +85,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_substring_dedup": op2_substring_dedup,
     "op3_simhash": op3_simhash,
+    "op4_licenses": op4_licenses,
     "op5_lm_score": op5_lm_score,
     "op6_quality": op6_quality,
     "op7_decontaminate": op7_decontaminate,
