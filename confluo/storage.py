@@ -32,4 +32,16 @@ def materialize(df: DataFrame) -> DataFrame:
     del df
     gc.collect()
     spark.sparkContext._jvm.System.gc()
-    return spark.read.schema(schema).parquet(path)
+    out = spark.read.schema(schema).parquet(path)
+    out._confluo_path = path
+    return out
+
+
+def release(*frames: DataFrame) -> None:
+    """Delete the tables of materialized frames that nothing reads any more."""
+    for df in frames:
+        path = getattr(df, "_confluo_path", None)
+        if path:
+            jvm, conf = df.sparkSession.sparkContext._jvm, df.sparkSession.sparkContext._jsc.hadoopConfiguration()
+            p = jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(conf).delete(p, True)
