@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from confluo.llm._base import LOWER, document_key, longs, slices, text_bytes, word_spans
+from confluo.llm._base import LOWER, document_key, longs, mix, prefix_hash, slices, span_hash, text_bytes, word_hashes, word_spans
 from confluo.operators.components import connected_components
 from confluo.storage import materialize
 
@@ -222,3 +222,124 @@ def simhash_dedup(docs: DataFrame, shingle: int = 3, radius: int = 3) -> DataFra
     joined = by.join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     low = materialize(joined.groupBy("component").agg(F.min("low").alias("component_id")).join(joined.select("fp", "component"), "component").select("fp", "component_id"))
     return marked.join(low, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+_MINIMA, _SKETCH = 6, 256
+
+
+def _sketch(shingle: int):
+    """Fingerprint, minima of several hashes (the buckets), and the least shingle hashes of each text."""
+
+    def run(batches):
+        for batch in slices(batches, limit=1 << 19):
+            fp = fingerprints(batch.column("text"), shingle)
+            data, off = text_bytes(batch.column("text"))
+            data = LOWER[data]
+            starts, ends, first = word_spans(data, off)
+            prefix = prefix_hash(word_hashes(data, starts, ends))
+            rows, buckets, sketches = [], [], []
+            for i, (a, b) in enumerate(zip(first[:-1].tolist(), first[1:].tolist(), strict=True)):
+                if a == b:
+                    continue
+                at = np.arange(a, max(b - shingle, a) + 1)
+                h = np.unique(span_hash(prefix, at, np.minimum(at + shingle, b)))
+                small = np.unique((h >> np.uint64(32)).astype(np.uint32))[:_SKETCH]
+                rows.append(i)
+                buckets.append([int(mix(h ^ np.uint64(0x9E3779B97F4A7C15 * (j + 1) & (2**64 - 1))).min().astype(np.int64)) for j in range(_MINIMA)])
+                sketches.append(small.tobytes())
+            take = pa.array(rows, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("rk").take(take), longs(fp[rows]) if rows else pa.array([], pa.int64()), pa.array(buckets, pa.list_(pa.int64())), pa.array(sketches, pa.binary())], names=["rk", "fp", "minima", "sketch"])
+
+    return run
+
+
+def _similarity(a: np.ndarray, b: np.ndarray) -> float:
+    """Jaccard similarity of two shingle sets from their least hashes: exact where both are whole."""
+    both = np.union1d(a, b)
+    if len(a) == _SKETCH or len(b) == _SKETCH:
+        both = both[:_SKETCH]
+    return np.isin(both, np.intersect1d(a, b, assume_unique=True), assume_unique=True).mean()
+
+
+def _verified(radius: int, similarity: float, tile: int):
+    """Rows come sorted by bucket: links that join all texts of a bucket within the radius and of enough similarity."""
+
+    def links(keys, fp, sketches):
+        order = np.argsort(np.bitwise_count(fp), kind="stable")
+        v = fp[order]
+        pop = np.bitwise_count(v)
+        sets = [np.frombuffer(sketches[i], np.uint32) for i in order.tolist()]
+        parent = list(range(len(v)))
+
+        def root(x):
+            while parent[x] != x:
+                parent[x] = parent[parent[x]]
+                x = parent[x]
+            return x
+
+        for i in range(0, len(v), tile):
+            for j in range(i, len(v), tile):
+                if int(pop[j]) - int(pop[min(i + tile, len(v)) - 1]) > radius:
+                    break
+                near = np.bitwise_count(v[i : i + tile, None] ^ v[None, j : j + tile]) <= radius
+                for p, q in zip(*(x.tolist() for x in np.nonzero(np.triu(near, 1) if i == j else near)), strict=True):
+                    a, b = root(p + i), root(q + j)
+                    if a != b and _similarity(sets[p + i], sets[q + j]) >= similarity:
+                        parent[max(a, b)] = min(a, b)
+                        yield keys[order[p + i]], keys[order[q + j]]
+
+    def run(batches):
+        last, keys, fps, sketches, kind = None, [], [], [], None
+
+        def flush():
+            if len(keys) > 1:
+                pairs = list(links(keys, np.array(fps, np.int64).view(np.uint64), sketches))
+                if pairs:
+                    yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], kind), pa.array([p[1] for p in pairs], kind)], names=["a", "b"])
+
+        for batch in batches:
+            kind = batch.column("rk").type
+            for b, rk, fp, sk in zip(batch.column("bucket").to_pylist(), batch.column("rk").to_pylist(), batch.column("fp").to_pylist(), batch.column("sketch").to_pylist(), strict=True):
+                if b != last:
+                    yield from flush()
+                    last, keys, fps, sketches = b, [], [], []
+                keys.append(rk)
+                fps.append(fp)
+                sketches.append(sk)
+        yield from flush()
+
+    return run
+
+
+def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, radius: int = 20, part: int = 4096) -> DataFrame:
+    """The columns of docs with ``component``: the key of the first document of its group of near duplicates.
+
+    docs: ``doc_id, text`` and any other columns. Two texts are near duplicates where the Jaccard similarity of their word shingles (A-Z in
+    lower case; of fewer words, all of them) is ``similarity`` or more. Texts that share the minimum of one of six hashes over their
+    shingles are compared: tiles of fingerprints first (see ``near_links``; the radius is wide, and tiles whose population counts
+    differ beyond it are skipped), then the least 256 shingle hashes, which hold the whole set of shorter texts. A pair at the threshold shares
+    none of the six with a chance of 0.2^6. Equal texts are compared once. Buckets of over ``part`` texts are dealt out by
+    pairs of their parts.
+
+    Texts without words are their own group each. The key is doc_id where it is unique and not null, else (doc_id, hash of the text). A column named component is replaced.
+    """
+    key = document_key(docs)
+    rows = docs.select(key.alias("rk"), F.coalesce("text", F.lit("")).alias("text"))
+    rk = rows.schema["rk"].dataType.simpleString()
+    marked = rows.mapInArrow(_sketch(shingle), f"rk {rk}, fp long, minima array<long>, sketch binary")
+    marked = materialize(marked.withColumn("same", F.unhex(F.md5("sketch"))))
+    first = materialize(marked.groupBy("fp", "same").agg(F.min("rk").alias("rk")))
+    reps = marked.join(first.select("rk"), "rk", "left_semi").dropDuplicates(["rk"]) if rk != "bigint" else marked.join(first.select("rk"), "rk", "left_semi")
+    dealt = materialize(reps.select("rk", "fp", F.posexplode("minima").alias("t", "m")).withColumn("bucket", F.xxhash64("t", "m")).drop("t", "m"))
+    sizes = materialize(dealt.groupBy("bucket").count().where("count > 1").select("bucket", F.ceil(F.col("count") / part).cast("int").alias("parts")))
+    own, other = F.pmod(F.xxhash64("fp", "rk"), F.col("parts")).cast("int"), F.sequence(F.lit(0), F.col("parts") - 1)
+    split = dealt.join(sizes, "bucket").withColumn("bucket", F.explode(F.transform(other, lambda o: F.xxhash64("bucket", F.least(own, o), F.greatest(own, o)))))
+    # sketches follow to the shared buckets only
+    split = split.join(reps.select("rk", "sketch"), "rk")
+    n = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    links = split.select("bucket", "rk", "fp", "sketch").repartition(n, "bucket").sortWithinPartitions("bucket", "rk").mapInArrow(_verified(radius, similarity, 1024), f"a {rk}, b {rk}")
+    found = connected_components(links, "a", "b")
+    groups = first.join(found.withColumnRenamed("node", "rk"), "rk", "left").select("fp", "same", F.coalesce("component", "rk").alias("component"))
+    component = materialize(marked.select("rk", "fp", "same").distinct().join(groups, ["fp", "same"]).select(F.col("rk").alias("_cf_rk"), F.col("component").alias("_cf_component")))
+    out = docs.withColumn("_cf_rk", key).join(component, "_cf_rk", "left")
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns if c != "component"], F.coalesce("_cf_component", "_cf_rk").alias("component"), F.col("_cf_rk").alias("document_key"))
