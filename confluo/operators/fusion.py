@@ -31,8 +31,8 @@ def contributions(members: DataFrame) -> DataFrame:
     of_item = lambda g, names: lambda x, i: F.array(*[entry(f"{g}.{n}", i, x[n]) for n in names])
     lists = [F.transform(p, of_list(f)) for f, p in LISTS.items()]
     items = [F.flatten(F.transform(g, of_item(g, names))) for g, names in ITEMS.items()]
-    rows = members.select("component", "record_idx", F.explode(F.concat(singles, *lists, *items)).alias("e"))
-    return rows.select("component", "record_idx", "e.*").where("not absent").drop("absent")
+    rows = members.select("component", "record_idx", F.inline(F.concat(singles, *lists, *items)))
+    return rows.where("not absent").drop("absent")
 
 
 def normalized(contrib: DataFrame) -> DataFrame:
