@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from confluo.llm._base import longs, minimizers, rolling_hash, slices, sliding, text_bytes, word_hashes, word_spans
-from confluo.storage import materialize
+from confluo.storage import materialize, release
 
 
 def values_of(batch: pa.RecordBatch, unit: str):
@@ -117,6 +117,8 @@ def recurring_segments(rows: DataFrame, unit: str, size: int, k: int) -> DataFra
     """
     rk = rows.schema["rk"].dataType.simpleString()
     anchors = rows.where("text is not null").mapInArrow(_anchors(unit, size, k), f"rk {rk}, at int, anchor long")
-    often = materialize(anchors.groupBy("anchor").agg(F.count("*").alias("n"), F.min("rk").alias("low")).where("n > 1").select("anchor", F.xxhash64("low").alias("home")))
+    often = materialize(anchors.groupBy("anchor").agg(F.count("*").alias("n"), F.min("rk").alias("low")).where("n > 1").select("anchor", F.hash("low").alias("home")))
     hits = anchors.join(often.hint("shuffle_hash"), "anchor").groupBy("rk").agg(F.collect_list(F.struct("at", "home")).alias("hits"))
-    return materialize(rows.join(hits, "rk").mapInArrow(_segments(unit, size, k), f"home long, rk {rk}, start int, content binary, runs array<int>"))
+    out = materialize(rows.join(hits, "rk").mapInArrow(_segments(unit, size, k), f"home int, rk {rk}, start int, content binary, runs array<int>"))
+    release(often)
+    return out

@@ -12,7 +12,7 @@ from pyspark.sql.functions import arrow_udf
 from confluo.llm._base import document_key, longs, prefix_hash, span_hash, union_length, word_hashes
 from confluo.llm._repeats import recurring_segments
 from confluo.llm.line_dedup import _with_result
-from confluo.storage import materialize
+from confluo.storage import materialize, release
 
 
 def _windows(size: int):
@@ -40,12 +40,20 @@ def _windows(size: int):
                 seg = np.repeat(seg, n)
                 h = span_hash(prefix, first[seg] + at, first[seg] + at + size)
                 take = pa.array(seg)
-                start = part.column("start").to_numpy()[seg] + at
-                yield pa.RecordBatch.from_arrays([longs(h), part.column("home").take(take), part.column("rk").take(take), pa.array(start.astype(np.int32))], names=["h", "home", "rk", "start"])
+                yield pa.RecordBatch.from_arrays([longs(h), part.column("home").take(take), part.column("rk").take(take)], names=["h", "home", "rk"])
 
     return run
 
 
+def _first_places(content: bytes, hashes: list[int], size: int) -> list[int]:
+    """Places of the windows of a segment that have one of the hashes."""
+    data = np.frombuffer(content, np.uint8)
+    gap = np.flatnonzero(data == 32)
+    prefix = prefix_hash(word_hashes(data, np.append(0, gap + 1), np.append(gap, len(data))))
+    at = np.arange(max(len(prefix) - size, 0))
+    return np.flatnonzero(np.isin(span_hash(prefix, at, at + size), np.array(hashes, np.int64).view(np.uint64))).tolist()
+
+
 def _locate(size: int):
     """Rows come sorted by ``shard``, passages (with ``firsts``) before the segments to search."""
 
@@ -61,10 +69,11 @@ def _locate(size: int):
                 words = content[i].split(b" ")
                 if not kinds[i]:
                     numbers = [ids.setdefault(w, len(ids) + 1) for w in words]
-                    for f in firsts[i]:
-                        x = f - starts[i]
-                        if 0 <= x <= len(words) - size and machine.add_word(tuple(numbers[x : x + size]), len(places)):
-                            places.append((keys[i], f))
+                    for x in _first_places(content[i], firsts[i], size):
+                        window = tuple(numbers[x : x + size])
+                        if not machine.exists(window):  # rows come by document and place: the first one stays
+                            machine.add_word(window, len(places))
+                            places.append((keys[i], starts[i] + x))
                     continue
                 if not places:
                     continue
@@ -93,7 +102,7 @@ def repeated_spans(rows: DataFrame, size: int = 20, k: int = 10, shard_bytes: in
     """``rk, spans``: word spans (flat pairs) covered by windows that also start earlier; rows: ``rk, text``.
 
     1. Anchors that recur pick out the segments of text that may repeat (see ``_repeats``).
-    2. A grouped count over the hashes of their windows confirms those that recur and finds each one's first place.
+    2. A grouped count over the hashes of their windows confirms those that recur and finds the first document of each.
     3. Passages go to shards by home. A home with more than ``shard_passages`` passages is dealt to several shards, each of which
        sees all its segments; one with more than ``shard_bytes`` of segments has several shards with the same passages.
     4. Each shard compiles its passages, as sequences of word numbers, into an automaton and streams its segments
@@ -101,9 +110,8 @@ def repeated_spans(rows: DataFrame, size: int = 20, k: int = 10, shard_bytes: in
     """
     segments = recurring_segments(rows, "words", size, k)
     rk = rows.schema["rk"].dataType.simpleString()
-    windows = segments.mapInArrow(_windows(size), f"h long, home long, rk {rk}, start int")
-    first = windows.groupBy("h", "home").agg(F.count("*").alias("n"), F.min(F.struct("rk", "start")).alias("p")).where("n > 1")
-    first = materialize(first.select("h", "home", F.col("p.rk").alias("rk"), F.col("p.start").alias("first")))
+    windows = segments.mapInArrow(_windows(size), f"h long, home int, rk {rk}")
+    first = materialize(windows.groupBy("h", "home").agg(F.count("*").alias("n"), F.min("rk").alias("rk")).where("n > 1").select("h", "home", "rk"))
     big = segments.groupBy("home").agg(F.sum(F.length("content")).alias("bytes")).where(F.col("bytes") > shard_bytes)
     big = big.select("home", F.ceil(F.col("bytes") / shard_bytes).cast("int").alias("copies"))
     many = first.groupBy("home").count().where(F.col("count") > shard_passages).select("home", F.ceil(F.col("count") / shard_passages).cast("int").alias("parts"))
@@ -116,15 +124,17 @@ def repeated_spans(rows: DataFrame, size: int = 20, k: int = 10, shard_bytes: in
 
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     passages = dealt(first, F.pmod(F.col("h"), F.col("parts")).cast("int"), every("copies"))
-    passages = passages.groupBy("home", "rk", "part", "copy", "shard").agg(F.collect_list("first").alias("firsts"))
+    passages = passages.groupBy("home", "rk", "part", "copy", "shard").agg(F.collect_list("h").alias("firsts"))
     columns = ["shard", "kind", "rk", F.xxhash64("rk").alias("key"), "start", "content", "firsts"]
     passages = passages.join(segments.select("home", "rk", "start", "content"), ["home", "rk"]).withColumn("kind", F.lit(0)).select(*columns)
     searched = dealt(segments, every("parts"), F.pmod(F.xxhash64("rk", "start"), F.col("copies")).cast("int"))
-    searched = searched.withColumn("kind", F.lit(1)).withColumn("firsts", F.lit(None).cast("array<int>")).select(*columns)
+    searched = searched.withColumn("kind", F.lit(1)).withColumn("firsts", F.lit(None).cast("array<long>")).select(*columns)
     parts = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    both = passages.unionByName(searched).repartition(parts, "shard").sortWithinPartitions("shard", "kind")
+    both = passages.unionByName(searched).repartition(parts, "shard").sortWithinPartitions("shard", "kind", "rk", "start")
     found = both.mapInArrow(_locate(size), f"rk {rk}, spans array<int>")
-    return found.groupBy("rk").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+    found = materialize(found.groupBy("rk").agg(F.flatten(F.collect_list("spans")).alias("spans")))
+    release(segments, first, split)
+    return found
 
 
 def substring_dedup(docs: DataFrame, size: int = 20) -> DataFrame:

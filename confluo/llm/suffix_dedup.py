@@ -11,7 +11,7 @@ from pyspark.sql.functions import arrow_udf
 from confluo.llm._base import document_key, longs, prefix_hash, rolling_hash, span_hash, union_length
 from confluo.llm._repeats import recurring_segments
 from confluo.llm.line_dedup import _with_result
-from confluo.storage import materialize
+from confluo.storage import materialize, release
 
 
 def suffix_array(symbols: np.ndarray) -> np.ndarray:
@@ -147,7 +147,7 @@ def repeated_bytes(rows: DataFrame, least: int = 400, k: int = 64, group_bytes:
     """
     rk = rows.schema["rk"].dataType.simpleString()
     segments = recurring_segments(rows, "bytes", least, k)
-    marked = segments.select(F.col("home").alias("home_id"), F.unhex(F.md5("content")).alias("digest"), "rk", "start", "content")
+    marked = segments.select(F.col("home").cast("long").alias("home_id"), F.unhex(F.md5("content")).alias("digest"), "rk", "start", "content")
     counts = marked.groupBy("home_id", "digest").agg(F.count("*").alias("n"), F.min(F.struct("rk", "start")).alias("first"), F.max(F.length("content")).alias("size"))
     counts = materialize(counts.select("home_id", "digest", (F.col("n") > 1).alias("again"), F.col("first.rk").alias("rk"), F.col("first.start").alias("start"), "size"))
     large = materialize(counts.groupBy("home_id").agg(F.sum("size").alias("bytes")).where(F.col("bytes") > group_bytes).select("home_id", F.lit(True).alias("large")))
@@ -164,7 +164,9 @@ def repeated_bytes(rows: DataFrame, least: int = 400, k: int = 64, group_bytes:
         spans = spans.unionByName(found).unionByName(whole)
     spans = materialize(spans.where(F.size("spans") > 0))
     every = marked.select("home_id", "digest", "rk", "start").join(spans, ["home_id", "digest"])
-    return every.groupBy("rk").agg(F.flatten(F.collect_list(F.transform("spans", lambda x: x + F.col("start")))).alias("spans"))
+    found = materialize(every.groupBy("rk").agg(F.flatten(F.collect_list(F.transform("spans", lambda x: x + F.col("start")))).alias("spans")))
+    release(segments, counts, large, spans)
+    return found
 
 
 def suffix_dedup(docs: DataFrame, least: int = 400) -> DataFrame:
