@@ -14,9 +14,11 @@ from confluo.llm._base import LOWER, document_key, longs, mix, slices, text_byte
 from confluo.storage import materialize
 
 #: Head classes hold the most frequent tokens, SIDE in each; tail classes hold the rest, by a hash of their last two bytes.
-HEADS, SIDE, TAILS = 16, 16, 48
+HEADS, SIDE, TAILS = 16, 16, 16
 CLASSES = HEADS + TAILS
-ROWS = 1 << 14
+ROWS = 1 << 14  # row numbers fit in 16 bits
+#: Changes that one task sums in each step.
+FAN = 8
 _LOW = np.uint64(63)
 _END, _START = np.uint64(0x5EED << 6), np.uint64(0xB0A7 << 6)
 _C = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
@@ -131,47 +133,60 @@ class Model:
         head = rank < HEADS * SIDE
         return np.where(head, rank // SIDE, HEADS + (t & _LOW).astype(np.int64) % TAILS), np.where(head, rank % SIDE, -1), np.where(found, self.hot_count[i], -1)
 
-    def features(self, t: np.ndarray, off: np.ndarray, c: np.ndarray) -> np.ndarray:
-        """Rows of the weight tables for each token: the token before, the two before, the one before that (skip), and their classes."""
+    def features(self, t: np.ndarray, off: np.ndarray) -> np.ndarray:
+        """Hashes of each token's contexts: the token before, the two before, and the second before alone (a skip)."""
         p1, p2 = np.append(_START, t[:-1]), np.append([_START, _START], t[:-2])[: len(t)]
-        c1, c2 = np.append(CLASSES, c[:-1]), np.append([CLASSES, CLASSES], c[:-2])[: len(t)]
         first = off[:-1][off[:-1] < off[1:]]
-        p1[first], c1[first] = _START, CLASSES
+        p1[first] = _START
         second = np.concatenate([first, first[first + 1 < len(t)] + 1])
-        p2[second], c2[second] = _START, CLASSES
-        h = [mix(p1 * _C[0]), mix(p1 * _C[1] + p2 * _C[2]), mix(p2 * _C[3] + np.uint64(1)), mix((c1 * 80 + c2).astype(np.uint64) * _C[0] + np.uint64(2))]
-        return np.stack(h, 1)
+        p2[second] = _START
+        return np.stack([mix(p1 * _C[0]), mix(p1 * _C[1] + p2 * _C[2]), mix(p2 * _C[3] + np.uint64(1))], 1)
 
 
-def _log_softmax(z: np.ndarray) -> np.ndarray:
+def _softmax(z: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Shifted logits, their exponentials, and the sums of these."""
     z -= z.max(axis=1, keepdims=True)
-    return z - np.log(np.exp(z).sum(axis=1, keepdims=True))
+    e = np.exp(z)
+    return z, e, e.sum(axis=1)
 
 
-def _logits(model: Model, h: np.ndarray, c: np.ndarray, place: np.ndarray):
-    """Log probabilities of the classes, and for head tokens of the places in their class; the rows used."""
+def _forward(model: Model, h: np.ndarray, c: np.ndarray, place: np.ndarray):
+    """Softmax over the classes, and for head tokens over the places in their class; the rows of weights used."""
     r1 = (h % np.uint64(ROWS)).astype(np.int64)
-    z1 = np.repeat(model.prior[None, :], len(c), 0)
-    for j in range(h.shape[1]):
+    z1 = model.w1[r1[:, 0]] + model.prior
+    for j in range(1, h.shape[1]):
         z1 += model.w1[r1[:, j]]
     head = np.flatnonzero(place >= 0)
     r2 = (mix(h[head] + (c[head].astype(np.uint64) + np.uint64(1))[:, None] * _C[2]) % np.uint64(ROWS)).astype(np.int64)
-    z2 = model.inner[c[head]].copy()
+    z2 = model.inner[c[head]]
     for j in range(h.shape[1]):
         z2 += model.w2[r2[:, j]]
-    return _log_softmax(z1), r1, head, _log_softmax(z2), r2
+    return _softmax(z1), r1, head, _softmax(z2), r2
+
+
+def _errors(soft: tuple, own: np.ndarray) -> np.ndarray:
+    """Gradient of the negative log probability by the logits."""
+    _, e, total = soft
+    e /= total[:, None]
+    e[np.arange(len(e)), own] -= 1
+    return e
+
+
+def _log_own(soft: tuple, own: np.ndarray) -> np.ndarray:
+    z, _, total = soft
+    return (z[np.arange(len(z)), own] - np.log(total)).astype(np.float64)
 
 
 def _descend(w: np.ndarray, g2: np.ndarray, rows: np.ndarray, err: np.ndarray, rate: float) -> None:
-    """AdaGrad on the rows of one minibatch; the gradient is summed by row first."""
-    for j in range(rows.shape[1]):
-        order = np.argsort(rows[:, j], kind="stable")
-        r = rows[order, j]
-        cut = np.flatnonzero(np.append(True, r[1:] != r[:-1]))
-        g = np.add.reduceat(err[order], cut, axis=0)
-        at = r[cut]
-        g2[at] += g * g
-        w[at] -= rate * g / np.sqrt(10 + g2[at])
+    """AdaGrad on the rows of one minibatch; the gradient is summed by row first, over all contexts at once."""
+    flat = rows.ravel()
+    order = np.argsort(flat.astype(np.uint16), kind="stable")
+    r = flat[order]
+    cut = np.flatnonzero(np.append(True, r[1:] != r[:-1]))
+    g = np.add.reduceat(err[order // rows.shape[1]], cut, axis=0)
+    at = r[cut]
+    g2[at] += g * g
+    w[at] -= rate * g / np.sqrt(10 + g2[at])
 
 
 def _train(model: Model, rate: float, minibatch: int, groups: int):
@@ -183,17 +198,13 @@ def _train(model: Model, rate: float, minibatch: int, groups: int):
         for batch in slices(batches):
             t, off = tokens(batch.column("text"))
             c, place, _ = m.classify(t)
-            h = m.features(t, off, c)
+            h = m.features(t, off)
             for i in range(0, len(t), minibatch):
                 part = slice(i, i + minibatch)
-                lp1, r1, head, lp2, r2 = _logits(m, h[part], c[part], place[part])
-                err = np.exp(lp1)
-                err[np.arange(len(err)), c[part]] -= 1
-                _descend(m.w1, g1, r1, err, rate)
+                soft, r1, head, inner, r2 = _forward(m, h[part], c[part], place[part])
+                _descend(m.w1, g1, r1, _errors(soft, c[part]), rate)
                 if len(head):
-                    err = np.exp(lp2)
-                    err[np.arange(len(err)), place[part][head]] -= 1
-                    _descend(m.w2, g2, r2, err, rate)
+                    _descend(m.w2, g2, r2, _errors(inner, place[part][head]), rate)
             seen += len(t)
         if seen:
             change = np.concatenate([(m.w1 - model.w1).ravel(), (m.w2 - model.w2).ravel()])
@@ -204,22 +215,30 @@ def _train(model: Model, rate: float, minibatch: int, groups: int):
 
 
 def _sum_changes(batches):
-    total, seen = None, 0
+    """Rows come sorted by group: one row for each, for the next step's group."""
+    total, seen, group = None, 0, None
+
+    def out():
+        return pa.RecordBatch.from_arrays([pa.array([group // FAN], pa.int32()), pa.array([seen], pa.int64()), pa.array([_blob(total.astype(np.float32))], pa.binary())], names=["g", "seen", "change"])
+
     for batch in batches:
-        for n, x in zip(batch.column("seen").to_pylist(), batch.column("change").to_pylist(), strict=True):
+        for g, n, x in zip(batch.column("g").to_pylist(), batch.column("seen").to_pylist(), batch.column("change").to_pylist(), strict=True):
+            if total is not None and g != group:
+                yield out()
+                total, seen = None, 0
             x = np.frombuffer(x, np.float32)
             total = x.astype(np.float64) if total is None else total + x
-            seen += n
+            seen, group = seen + n, g
     if total is not None:
-        yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([seen], pa.int64()), pa.array([_blob(total.astype(np.float32))], pa.binary())], names=["g", "seen", "change"])
+        yield out()
 
 
-def train_lm(texts: DataFrame, hot: int = 4096, rounds: int = 2, rate: float = 0.3, minibatch: int = 8192) -> tuple[Model, DataFrame]:
+def train_lm(texts: DataFrame, hot: int = 4096, rounds: int = 2, rate: float = 0.3, minibatch: int = 65536) -> tuple[Model, DataFrame]:
     """The model and the table of all token counts, from every row of texts (``text``).
 
     Counts are packed by bucket of token numbers before they are shuffled, and stay in the shared folder. The weights are learned in ``rounds``,
-    each over its share of the texts, all texts once: every task descends from the shared weights on its own part, changes are summed in two
-    steps and averaged by tokens. The driver holds the model and a few changes of its size.
+    each over its share of the texts, all texts once: every task descends from the shared weights on its own part, changes are summed in steps
+    of a few each and averaged by tokens. The driver holds the model and at most FAN changes of its size.
     """
     spark = texts.sparkSession
     buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
@@ -249,8 +268,14 @@ def train_lm(texts: DataFrame, hot: int = 4096, rounds: int = 2, rate: float = 0
     for i in range(rounds):
         part = texts.where(F.pmod(F.xxhash64("text"), F.lit(rounds)) == i)
         tasks = max(1, part.rdd.getNumPartitions())
-        groups = max(1, int(tasks**0.5))
-        changes = part.mapInArrow(_train(model, rate, minibatch, groups), "g int, seen long, change binary").repartition(groups, "g").mapInArrow(_sum_changes, "g int, seen long, change binary").collect()
+        groups = -(-tasks // FAN)
+        summed, schema = part.mapInArrow(_train(model, rate, minibatch, groups), "g int, seen long, change binary"), "g int, seen long, change binary"
+        while True:
+            summed = summed.repartition(groups, "g").sortWithinPartitions("g").mapInArrow(_sum_changes, schema)
+            if groups <= FAN:
+                break
+            groups = -(-groups // FAN)
+        changes = summed.collect()
         seen = sum(r["seen"] for r in changes)
         if seen:
             change = sum(np.frombuffer(r["change"], np.float32).astype(np.float64) for r in changes) / seen
@@ -265,13 +290,13 @@ def _score(model: Model, minibatch: int):
         for batch in slices(batches):
             t, off = tokens(batch.column("text"))
             c, place, count = model.classify(t)
-            h = model.features(t, off, c)
+            h = model.features(t, off)
             lp = np.empty(len(t))
             for i in range(0, len(t), minibatch):
                 part = slice(i, i + minibatch)
-                lp1, _, head, lp2, _ = _logits(model, h[part], c[part], place[part])
-                own = lp1[np.arange(len(lp1)), c[part]].astype(np.float64)
-                own[head] += lp2[np.arange(len(head)), place[part][head]]
+                soft, _, head, inner, _ = _forward(model, h[part], c[part], place[part])
+                own = _log_own(soft, c[part])
+                own[head] += _log_own(inner, place[part][head])
                 lp[part] = own
             lp /= np.log(10)
             tail = place < 0
@@ -368,7 +393,7 @@ def _gather(batches):
         yield out()
 
 
-def lm_score(docs: DataFrame, learn: Column, minibatch: int = 8192, rounds: int = 2) -> DataFrame:
+def lm_score(docs: DataFrame, learn: Column, minibatch: int = 65536, rounds: int = 2) -> DataFrame:
     """``doc_id, n_tokens, n_known, train_tokens, base_score, score`` for each row of docs (``doc_id, text``).
 
     Tokens are the words ``[^\\x20\\x09-\\x0D]+`` with A-Z in lower case, and one end. The rows where ``learn`` is true give the counts
