@@ -114,35 +114,38 @@ def simhash(text: Column, shingle: int = 3) -> Column:
     return run(text)
 
 
+def _spanning(v: np.ndarray, radius: int, tile: int, joined):
+    """Pairs (p, q) that connect all fingerprints within the radius for which joined(p, q) holds; v is sorted by population count.
+
+    Tiles are compared whole; tile pairs whose counts differ beyond the radius are skipped, and so are pairs that are connected already.
+    """
+    pop = np.bitwise_count(v)
+    label = np.arange(len(v))
+    for i in range(0, len(v), tile):
+        for j in range(i, len(v), tile):
+            if int(pop[j]) - int(pop[min(i + tile, len(v)) - 1]) > radius:
+                break
+            near = np.bitwise_count(v[i : i + tile, None] ^ v[None, j : j + tile]) <= radius
+            if i == j:
+                near = np.triu(near, 1)
+            for p in (np.flatnonzero(near.any(axis=1)) + i).tolist():
+                others = np.flatnonzero(near[p - i]) + j
+                others = others[label[others] != label[p]]
+                while len(others):
+                    q, others = int(others[0]), others[1:]
+                    if joined(p, q):
+                        label[label == label[q]] = label[p]
+                        yield p, q
+                        others = others[label[others] != label[p]]
+
+
 def _links(radius: int, tile: int):
     """Spanning links of each bucket: rows come sorted by ``bucket``; tiles of sorted population counts are compared."""
 
-    def edges(fp: np.ndarray, side: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        order = np.argsort(np.bitwise_count(fp), kind="stable")
-        v, s = fp[order], side[order]
-        pop = np.bitwise_count(v)
-        parent = np.arange(len(v))
-
-        def root(x: int) -> int:
-            while parent[x] != x:
-                parent[x] = parent[parent[x]]
-                x = parent[x]
-            return x
-
-        out = []
-        for i in range(0, len(v), tile):
-            for j in range(i, len(v), tile):
-                if int(pop[j]) - int(pop[min(i + tile, len(v)) - 1]) > radius:
-                    break  # populations of all later tiles differ beyond the radius
-                near = np.bitwise_count(v[i : i + tile, None] ^ v[None, j : j + tile]) <= radius
-                x, y = np.nonzero(np.triu(near, 1) if i == j else near)
-                for p, q in zip((x + i).tolist(), (y + j).tolist(), strict=True):
-                    a, b = root(p), root(q)
-                    if a != b:
-                        parent[max(a, b)] = min(a, b)
-                        out.append((p, q))
-        x = np.array(out, np.int64).reshape(-1, 2)
-        return v[x[:, 0]], v[x[:, 1]]
+    def edges(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        v = fp[np.argsort(np.bitwise_count(fp), kind="stable")]
+        pairs = np.array(list(_spanning(v, radius, tile, lambda p, q: True)), np.int64).reshape(-1, 2)
+        return v[pairs[:, 0]], v[pairs[:, 1]]
 
     def run(batches):
         held: list[np.ndarray] = []
@@ -150,7 +153,7 @@ def _links(radius: int, tile: int):
 
         def flush():
             fp = np.unique(np.concatenate(held))
-            a, b = edges(fp, fp)
+            a, b = edges(fp)
             if len(a):
                 yield pa.RecordBatch.from_arrays([longs(a), longs(b)], names=["a", "b"])
 
@@ -265,28 +268,10 @@ def _verified(radius: int, similarity: float, tile: int):
     """Rows come sorted by bucket: links that join all texts of a bucket within the radius and of enough similarity."""
 
     def links(keys, fp, sketches):
-        order = np.argsort(np.bitwise_count(fp), kind="stable")
-        v = fp[order]
-        pop = np.bitwise_count(v)
-        sets = [np.frombuffer(sketches[i], np.uint32) for i in order.tolist()]
-        parent = list(range(len(v)))
-
-        def root(x):
-            while parent[x] != x:
-                parent[x] = parent[parent[x]]
-                x = parent[x]
-            return x
-
-        for i in range(0, len(v), tile):
-            for j in range(i, len(v), tile):
-                if int(pop[j]) - int(pop[min(i + tile, len(v)) - 1]) > radius:
-                    break
-                near = np.bitwise_count(v[i : i + tile, None] ^ v[None, j : j + tile]) <= radius
-                for p, q in zip(*(x.tolist() for x in np.nonzero(np.triu(near, 1) if i == j else near)), strict=True):
-                    a, b = root(p + i), root(q + j)
-                    if a != b and _similarity(sets[p + i], sets[q + j]) >= similarity:
-                        parent[max(a, b)] = min(a, b)
-                        yield keys[order[p + i]], keys[order[q + j]]
+        order = np.argsort(np.bitwise_count(fp), kind="stable").tolist()
+        sets = [np.frombuffer(sketches[i], np.uint32) for i in order]
+        for p, q in _spanning(fp[order], radius, tile, lambda p, q: _similarity(sets[p], sets[q]) >= similarity):
+            yield keys[order[p]], keys[order[q]]
 
     def run(batches):
         last, keys, fps, sketches, kind = None, [], [], [], None
