@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 WS = np.zeros(256, bool)
@@ -17,6 +17,12 @@ _B, _BINV = np.uint64(0x9E3779B97F4A7C15), np.uint64(pow(0x9E3779B97F4A7C15, -1,
 _tables: dict[str, np.ndarray] = {}
 
 
+def bound_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Whole texts go to Python in batches of this many rows at most: the default of 10,000 takes too much memory beside a task's heap."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+
+
 def document_key(docs: DataFrame) -> Column:
     """A column that tells documents apart and sorts them by doc_id.
 
@@ -24,6 +30,7 @@ def document_key(docs: DataFrame) -> Column:
     document, and rows of one doc_id with different texts are documents ordered by a hash of the text; null
     doc_ids sort first.
     """
+    bound_batches(docs.sparkSession)
     n, distinct = docs.agg(F.count("*"), F.count_distinct("doc_id")).first()
     if n == distinct:
         return F.col("doc_id").cast("long")

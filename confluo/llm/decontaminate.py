@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from confluo.llm._base import LOWER, slices, text_bytes, union_length, word_spans
+from confluo.llm._base import LOWER, bound_batches, slices, text_bytes, union_length, word_spans
 
 #: Bytes that end a word, once A-Z are in lower case: all below 0x80 but 0-9 and a-z.
 _BREAK = np.ones(256, bool)
@@ -187,6 +187,7 @@ def find_benchmark(docs: DataFrame, benchmark: DataFrame, ngram: int = 10, block
     Null texts have no words; null item ids are listed as an empty string; repeated items count once. An empty
     benchmark hits nothing. Columns named like the results are replaced.
     """
+    bound_batches(docs.sparkSession)
     size = benchmark.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-size // block_bytes))
     out, names = docs, []

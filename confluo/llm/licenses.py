@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from confluo.llm._base import LOWER, rolling_hash, slices, text_bytes, word_hashes, word_spans
+from confluo.llm._base import LOWER, bound_batches, rolling_hash, slices, text_bytes, word_hashes, word_spans
 
 #: License notices and texts as published by their stewards (fixed values).
 TEMPLATES = {
@@ -174,6 +174,7 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, leas
 
     Null and empty texts have none. Rows are scanned one by one, so repeated rows and null ids don't matter. A column named licenses is replaced.
     """
+    bound_batches(docs.sparkSession)
     made = {k: _words(v) for k, v in (templates or TEMPLATES).items()}
     made = {k: v for k, v in made.items() if len(v) >= _GRAM}
     if not made:

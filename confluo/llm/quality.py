@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from confluo.llm._base import text_bytes
+from confluo.llm._base import bound_batches, text_bytes
 
 SPACE = 1 << 18
 _BASE3 = 256 + 65536
@@ -109,6 +109,7 @@ def train_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", sa
     not 0 or 1 don't count. The chosen ids are few enough to be sent to the tasks, so texts aren't shuffled.
     """
     fold = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(folds))
+    bound_batches(docs.sparkSession)
     chosen = labels.select("doc_id", F.col(label).cast("int").alias("_cf_y")).where(F.col("_cf_y").isin(0, 1) & F.col("doc_id").isNotNull() & (fold != held_out))
     chosen = chosen.distinct().orderBy(F.xxhash64("doc_id"), "doc_id", "_cf_y").limit(sample)
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "_cf_y", F.coalesce("text", F.lit("")).alias("text"))

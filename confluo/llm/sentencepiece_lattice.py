@@ -60,13 +60,17 @@ def lattice(units: DataFrame, pieces: DataFrame, longest: int) -> DataFrame:
     edge = F.struct((F.col("a") + F.col("l")).alias("b"), F.col("a"), id_.alias("id"), cost.alias("cost"))
     grouped = joined.groupBy("unit").agg(F.collect_list(edge).alias("edges"), F.max("n").alias("n"))
 
-    def step(best: Column, e: Column) -> Column:
-        into = F.filter("edges", lambda x: x["b"] == e)
-        made = F.transform(into, lambda x: F.struct((F.get(best, x["a"])["cost"] + x["cost"]).alias("cost"), x["a"].alias("a"), x["id"].alias("id")))
-        return F.concat(best, F.array(F.array_min(made)))
-
-    zero = F.array(F.struct(F.lit(0.0).alias("cost"), F.lit(0).alias("a"), F.lit(0).alias("id")))
-    folded = grouped.select("unit", "n", F.aggregate(F.sequence(F.lit(1), F.col("n")), zero, step).alias("best"))
+    def step(s: Column, x: Column) -> Column:
+        """Edges come by the place they end at; ``now`` is the best into place b, ``best`` those into the places before."""
+        before = F.when(x["a"] == s["b"], s["now"]["cost"]).otherwise(F.get(s["best"], x["a"])["cost"])
+        made = F.struct((before + x["cost"]).alias("cost"), x["a"].alias("a"), x["id"].alias("id"))
+        same = F.struct(s["best"].alias("best"), s["b"].alias("b"), F.least(s["now"], made).alias("now"))
+        following = F.struct(F.concat(s["best"], F.array(s["now"])).alias("best"), x["b"].alias("b"), made.alias("now"))
+        return F.when(x["b"] == s["b"], same).otherwise(following)
+
+    node = "struct<cost:double,a:int,id:int>"
+    zero = F.struct(F.array().cast(f"array<{node}>").alias("best"), F.lit(0).alias("b"), F.struct(F.lit(0.0).alias("cost"), F.lit(0).alias("a"), F.lit(0).alias("id")).cast(node).alias("now"))
+    folded = grouped.select("unit", "n", F.aggregate(F.sort_array("edges"), zero, step, lambda s: F.concat(s["best"], F.array(s["now"]))).alias("best"))
 
     def back(acc: Column, _: Column) -> Column:
         here = F.get("best", acc["at"])
@@ -152,9 +156,15 @@ def _unpack_units(body: bytes) -> list[str]:
 
 
 def _distinct(batches):
+    """Units that this task has not given lately; what is left of repeats goes in the grouping after."""
+    seen: set[str] = set()
     for batch in batches:
         for body in batch.column("body").to_pylist():
-            yield pa.RecordBatch.from_arrays([pa.array(_unpack_units(body), pa.string())], names=["unit"])
+            new = [u for u in _unpack_units(body) if u not in seen]
+            seen.update(new)
+            yield pa.RecordBatch.from_arrays([pa.array(new, pa.string())], names=["unit"])
+            if len(seen) > 400_000:
+                seen.clear()
 
 
 def _reply(batches):
@@ -232,7 +242,7 @@ def _assemble(zero: int):
     return run
 
 
-def encode(docs: DataFrame, model_file: str, part_bytes: int = 8 << 20) -> DataFrame:
+def encode(docs: DataFrame, model_file: str, part_bytes: int = 4 << 20) -> DataFrame:
     """``doc_id, ids`` of each row of docs (``doc_id, text``): the cheapest path through the piece table.
 
     Spaces count as the mark that pieces have for them, one more stands before the text; a character that no piece covers
@@ -254,7 +264,8 @@ def encode(docs: DataFrame, model_file: str, part_bytes: int = 8 << 20) -> DataF
     buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     packed = materialize(texts.select("rk", "text").mapInArrow(_pack(buckets, part_bytes), f"part long, bucket int, names array<{rk}>, body binary, counts binary"))
     asked = packed.where("bucket >= 0")
-    units = asked.select("body").mapInArrow(_distinct, "unit string").distinct()
+    # many small tasks: the edges of a task's units are sorted in memory
+    units = asked.select("body").mapInArrow(_distinct, "unit string").repartition(4 * buckets, "unit").distinct()
     paths = materialize(lattice(units, pieces, max(len(p[0]) for p in rows)))
     known = paths.select(F.pmod(F.xxhash64("unit"), F.lit(buckets)).cast("int").alias("bucket"), F.lit(0).alias("kind"), "unit", "ids", F.lit(None).cast("long").alias("part"), F.lit(None).cast("binary").alias("body"))
     wanted = asked.select("bucket", F.lit(1).alias("kind"), F.lit(None).cast("string").alias("unit"), F.lit(None).cast("array<int>").alias("ids"), "part", "body")
