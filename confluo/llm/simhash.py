@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 from itertools import combinations
 
@@ -227,104 +228,157 @@ def simhash_dedup(docs: DataFrame, shingle: int = 3, radius: int = 3) -> DataFra
     return marked.join(low, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-_MINIMA, _SKETCH = 6, 256
+_MINIMA = 6
 
 
-def _sketch(shingle: int):
-    """Fingerprint, minima of several hashes (the buckets), and the least shingle hashes of each text."""
+def _shingle_sets(text: pa.Array, shingle: int):
+    """Row and sorted shingle hashes, each once, of each text with words."""
+    data, off = text_bytes(text)
+    data = LOWER[data]
+    starts, ends, first = word_spans(data, off)
+    prefix = prefix_hash(word_hashes(data, starts, ends))
+    for i, (a, b) in enumerate(zip(first[:-1].tolist(), first[1:].tolist(), strict=True)):
+        if a < b:
+            at = np.arange(a, max(b - shingle, a) + 1)
+            yield i, np.unique(span_hash(prefix, at, np.minimum(at + shingle, b)))
+
+
+def _marks(shingle: int):
+    """Fingerprint, minima of several hashes (the buckets), and size and digest of the shingle set of each text."""
 
     def run(batches):
         for batch in slices(batches, limit=1 << 19):
             fp = fingerprints(batch.column("text"), shingle)
-            data, off = text_bytes(batch.column("text"))
-            data = LOWER[data]
-            starts, ends, first = word_spans(data, off)
-            prefix = prefix_hash(word_hashes(data, starts, ends))
-            rows, buckets, sketches = [], [], []
-            for i, (a, b) in enumerate(zip(first[:-1].tolist(), first[1:].tolist(), strict=True)):
-                if a == b:
-                    continue
-                at = np.arange(a, max(b - shingle, a) + 1)
-                h = np.unique(span_hash(prefix, at, np.minimum(at + shingle, b)))
-                small = np.unique((h >> np.uint64(32)).astype(np.uint32))[:_SKETCH]
+            rows, buckets, sizes, same = [], [], [], []
+            for i, h in _shingle_sets(batch.column("text"), shingle):
                 rows.append(i)
                 buckets.append([int(mix(h ^ np.uint64(0x9E3779B97F4A7C15 * (j + 1) & (2**64 - 1))).min().astype(np.int64)) for j in range(_MINIMA)])
-                sketches.append(small.tobytes())
+                sizes.append(len(h))
+                same.append(hashlib.blake2b(h.tobytes(), digest_size=16).digest())
             take = pa.array(rows, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("rk").take(take), longs(fp[rows]) if rows else pa.array([], pa.int64()), pa.array(buckets, pa.list_(pa.int64())), pa.array(sketches, pa.binary())], names=["rk", "fp", "minima", "sketch"])
+            yield pa.RecordBatch.from_arrays([batch.column("rk").take(take), longs(fp[rows]) if rows else pa.array([], pa.int64()), pa.array(buckets, pa.list_(pa.int64())), pa.array(sizes, pa.int32()), pa.array(same, pa.binary())], names=["rk", "fp", "minima", "size", "same"])
 
     return run
 
 
-def _similarity(a: np.ndarray, b: np.ndarray) -> float:
-    """Jaccard similarity of two shingle sets from their least hashes: exact where both are whole."""
-    both = np.union1d(a, b)
-    if len(a) == _SKETCH or len(b) == _SKETCH:
-        both = both[:_SKETCH]
-    return np.isin(both, np.intersect1d(a, b, assume_unique=True), assume_unique=True).mean()
+def _whole_sets(shingle: int):
+    """The whole shingle set of each text."""
 
+    def run(batches):
+        for batch in slices(batches, limit=1 << 19):
+            rows, sets = [], []
+            for i, h in _shingle_sets(batch.column("text"), shingle):
+                rows.append(i)
+                sets.append(h.tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column("rk").take(pa.array(rows, pa.int64())), pa.array(sets, pa.binary())], names=["rk", "shingles"])
 
-def _verified(radius: int, similarity: float, tile: int):
-    """Rows come sorted by bucket: links that join all texts of a bucket within the radius and of enough similarity."""
+    return run
 
-    def links(keys, fp, sketches):
-        order = np.argsort(np.bitwise_count(fp), kind="stable").tolist()
-        sets = [np.frombuffer(sketches[i], np.uint32) for i in order]
-        for p, q in _spanning(fp[order], radius, tile, lambda p, q: _similarity(sets[p], sets[q]) >= similarity):
-            yield keys[order[p]], keys[order[q]]
+
+def _similar(sets: list[np.ndarray], fp: np.ndarray, similarity: float, radius: int):
+    """Pairs (p, q) that connect all sets within the radius whose Jaccard similarity is ``similarity`` or more.
+
+    Such sets differ in size by that factor at most, and share one of the first ``n - ceil(similarity * n) + 1`` members of each, in any order that all
+    sets have; rare members come first here. Pairs that pass both, and are not connected already, are counted in full.
+    """
+    size = np.array([len(s) for s in sets])
+    off = np.append(0, np.cumsum(size))
+    _, inv, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    rank = np.empty(len(count), np.int64)
+    rank[np.argsort(count, kind="stable")] = np.arange(len(count))
+    often = np.sort(count) > 1
+    member, owner = rank[inv], np.repeat(np.arange(len(sets)), size)
+    member = member[np.lexsort((member, owner))]
+    lead = (np.arange(len(member)) - off[owner] < (size - np.ceil(similarity * size - 1e-9) + 1)[owner]) & often[member]
+    order = np.lexsort((owner[lead], member[lead]))
+    cut = np.flatnonzero(np.append(True, np.diff(member[lead][order]) > 0)) if len(order) else np.zeros(0, np.int64)
+    lists = dict(zip(member[lead][order][cut].tolist(), np.split(owner[lead][order], cut[1:]), strict=True)) if len(order) else {}
+    label, mark = np.arange(len(sets)), np.zeros(len(count), bool)
+    for p in range(len(sets)):
+        mine, near = member[off[p] : off[p + 1]], []
+        for x in mine[lead[off[p] : off[p + 1]]].tolist():
+            if x in lists:
+                others = lists[x][label[lists[x]] != label[p]]
+                if len(others):
+                    near.append(others[others > p])
+                else:
+                    del lists[x]  # all of it is connected
+        if not near:
+            continue
+        others = np.unique(np.concatenate(near))
+        small, large = np.minimum(size[others], size[p]), np.maximum(size[others], size[p])
+        others = others[(small >= similarity * large - 1e-9) & (np.bitwise_count(fp[others] ^ fp[p]) <= radius)]
+        mark[mine] = True
+        for i in range(0, len(others), 1024):
+            some = others[i : i + 1024]
+            some = some[label[some] != label[p]]
+            if not len(some):
+                continue
+            at = np.append(0, np.cumsum(size[some]))
+            both = np.add.reduceat(mark[member[np.arange(at[-1]) + np.repeat(off[some] - at[:-1], size[some])]], at[:-1], dtype=np.int64)
+            for q in some[both / (size[p] + size[some] - both) >= similarity].tolist():
+                if label[q] != label[p]:
+                    label[label == label[q]] = label[p]
+                    yield p, q
+        mark[mine] = False
+
+
+def _verified(radius: int, similarity: float):
+    """Rows come sorted by bucket: links that join all texts of a bucket within the radius and of enough similarity."""
 
     def run(batches):
-        last, keys, fps, sketches, kind = None, [], [], [], None
+        last, keys, fps, sets, kind = None, [], [], [], None
 
         def flush():
             if len(keys) > 1:
-                pairs = list(links(keys, np.array(fps, np.int64).view(np.uint64), sketches))
+                pairs = list(_similar([np.frombuffer(x, np.uint64) for x in sets], np.array(fps, np.int64).view(np.uint64), similarity, radius))
                 if pairs:
-                    yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], kind), pa.array([p[1] for p in pairs], kind)], names=["a", "b"])
+                    yield pa.RecordBatch.from_arrays([pa.array([keys[p] for p, _ in pairs], kind), pa.array([keys[q] for _, q in pairs], kind)], names=["a", "b"])
 
         for batch in batches:
             kind = batch.column("rk").type
-            for b, rk, fp, sk in zip(batch.column("bucket").to_pylist(), batch.column("rk").to_pylist(), batch.column("fp").to_pylist(), batch.column("sketch").to_pylist(), strict=True):
+            for b, rk, fp, x in zip(batch.column("bucket").to_pylist(), batch.column("rk").to_pylist(), batch.column("fp").to_pylist(), batch.column("shingles").to_pylist(), strict=True):
                 if b != last:
                     yield from flush()
-                    last, keys, fps, sketches = b, [], [], []
+                    last, keys, fps, sets = b, [], [], []
                 keys.append(rk)
                 fps.append(fp)
-                sketches.append(sk)
+                sets.append(x)
         yield from flush()
 
     return run
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, radius: int = 20, part: int = 4096) -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, radius: int = 20, part: int = 4096, part_bytes: int = 8 << 20) -> DataFrame:
     """The columns of docs with ``component``: the key of the first document of its group of near duplicates.
 
     docs: ``doc_id, text`` and any other columns. Two texts are near duplicates where the Jaccard similarity of their word shingles (A-Z in
     lower case; of fewer words, all of them) is ``similarity`` or more. Texts that share the minimum of one of six hashes over their
-    shingles are compared: tiles of fingerprints first (see ``near_links``; the radius is wide, and tiles whose population counts
-    differ beyond it are skipped), then the least 256 shingle hashes, which hold the whole set of shorter texts. A pair at the threshold shares
-    none of the six with a chance of 0.2^6. Equal texts are compared once. Buckets of over ``part`` texts are dealt out by
-    pairs of their parts.
+    shingles are compared: those within the radius by fingerprint, by their whole sets of shingle hashes (64 bits), which are made again for the texts of shared
+    buckets only. A pair at the threshold shares none of the six with a chance of 0.2^6. Texts of equal sets are compared once. Buckets of over
+    ``part`` texts or ``part_bytes`` of hashes are dealt out by pairs of their parts.
 
     Texts without words are their own group each. The key is doc_id where it is unique and not null, else (doc_id, hash of the text). A column named component is replaced.
     """
     key = document_key(docs)
     rows = docs.select(key.alias("rk"), F.coalesce("text", F.lit("")).alias("text"))
     rk = rows.schema["rk"].dataType.simpleString()
-    marked = rows.mapInArrow(_sketch(shingle), f"rk {rk}, fp long, minima array<long>, sketch binary")
-    marked = materialize(marked.withColumn("same", F.unhex(F.md5("sketch"))))
-    first = materialize(marked.groupBy("fp", "same").agg(F.min("rk").alias("rk")))
+    marked = materialize(rows.mapInArrow(_marks(shingle), f"rk {rk}, fp long, minima array<long>, size int, same binary"))
+    first = materialize(marked.groupBy("same").agg(F.min("rk").alias("rk")))
     reps = marked.join(first.select("rk"), "rk", "left_semi").dropDuplicates(["rk"]) if rk != "bigint" else marked.join(first.select("rk"), "rk", "left_semi")
-    dealt = materialize(reps.select("rk", "fp", F.posexplode("minima").alias("t", "m")).withColumn("bucket", F.xxhash64("t", "m")).drop("t", "m"))
-    sizes = materialize(dealt.groupBy("bucket").count().where("count > 1").select("bucket", F.ceil(F.col("count") / part).cast("int").alias("parts")))
-    own, other = F.pmod(F.xxhash64("fp", "rk"), F.col("parts")).cast("int"), F.sequence(F.lit(0), F.col("parts") - 1)
+    dealt = materialize(reps.select("rk", "fp", "size", F.posexplode("minima").alias("t", "m")).withColumn("bucket", F.xxhash64("t", "m")).drop("t", "m"))
+    parts = F.ceil(F.greatest(F.col("count") / part, 8 * F.col("total") / part_bytes)).cast("int")
+    sizes = materialize(dealt.groupBy("bucket").agg(F.count("*").alias("count"), F.sum("size").alias("total")).where("count > 1").select("bucket", parts.alias("parts")))
+    own, other = F.pmod(F.xxhash64("rk"), F.col("parts")).cast("int"), F.sequence(F.lit(0), F.col("parts") - 1)
     split = dealt.join(sizes, "bucket").withColumn("bucket", F.explode(F.transform(other, lambda o: F.xxhash64("bucket", F.least(own, o), F.greatest(own, o)))))
-    # sketches follow to the shared buckets only
-    split = split.join(reps.select("rk", "sketch"), "rk")
+    split = materialize(split.select("bucket", "rk", "fp"))
+    # whole sets are made for the texts of shared buckets only
+    shared = rows.join(split.select("rk").distinct(), "rk", "left_semi")
+    sets = (shared if rk == "bigint" else shared.dropDuplicates(["rk"])).mapInArrow(_whole_sets(shingle), f"rk {rk}, shingles binary")
     n = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    links = split.select("bucket", "rk", "fp", "sketch").repartition(n, "bucket").sortWithinPartitions("bucket", "rk").mapInArrow(_verified(radius, similarity, 1024), f"a {rk}, b {rk}")
+    links = split.join(sets, "rk").select("bucket", "rk", "fp", "shingles").repartition(n, "bucket").sortWithinPartitions("bucket", "rk").mapInArrow(_verified(radius, similarity), f"a {rk}, b {rk}")
     found = connected_components(links, "a", "b")
-    groups = first.join(found.withColumnRenamed("node", "rk"), "rk", "left").select("fp", "same", F.coalesce("component", "rk").alias("component"))
-    component = materialize(marked.select("rk", "fp", "same").distinct().join(groups, ["fp", "same"]).select(F.col("rk").alias("_cf_rk"), F.col("component").alias("_cf_component")))
+    groups = first.join(found.withColumnRenamed("node", "rk"), "rk", "left").select("same", F.coalesce("component", "rk").alias("component"))
+    component = materialize(marked.select("rk", "same").distinct().join(groups, "same").select(F.col("rk").alias("_cf_rk"), F.col("component").alias("_cf_component")))
     out = docs.withColumn("_cf_rk", key).join(component, "_cf_rk", "left")
     return out.select(*[F.col(f"`{c}`") for c in docs.columns if c != "component"], F.coalesce("_cf_component", "_cf_rk").alias("component"), F.col("_cf_rk").alias("document_key"))

@@ -113,6 +113,28 @@ def test_near_duplicates(spark, docs, df):
     assert got == want
 
 
+def test_near_duplicates_long_texts(spark):
+    """Texts of several thousand words, some just above and some just below the threshold, and a bucket that is dealt out."""
+    r = np.random.default_rng(8)
+    texts = {}
+    for g in range(12):
+        w = [f"g{g}w{x}" for x in r.integers(0, 5000, 3000)]
+        texts[10 * g] = " ".join(w)
+        for k in range(1, 4):
+            v = list(w)
+            for x in r.choice(np.arange(5, 2990), (62, 66, 72)[k - 1], replace=False):
+                v[x] = f"new{k}"
+            texts[10 * g + k] = " ".join(v)
+    sets = {i: {tuple(w[j : j + 5]) for j in range(len(w) - 4)} for i, t in texts.items() for w in [t.split()]}
+    similarity = lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b])
+    near = [similarity(10 * g, 10 * g + k) for g in range(12) for k in range(1, 4)]
+    assert any(0.8 <= x < 0.82 for x in near) and any(0.78 < x < 0.8 for x in near)
+    frame = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    want = h.components(texts, lambda a, b: similarity(a, b) >= 0.8)
+    for part_bytes in (8 << 20, 30_000):
+        assert {x.doc_id: x.component for x in sh.near_duplicates(frame, part_bytes=part_bytes).collect()} == want
+
+
 def test_decontaminate(spark, docs, df):
     some = docs[10].split()
     items = [(7, " ".join(some[2:25])), (12, "short item"), (3, None), (4, ""), (100, docs[20]), (7, " ".join(some[2:25])), (5, "ab ab ab")]
