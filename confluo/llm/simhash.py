@@ -244,11 +244,10 @@ def _shingle_sets(text: pa.Array, shingle: int):
 
 
 def _marks(shingle: int):
-    """Fingerprint, minima of several hashes (the buckets), and size and digest of the shingle set of each text."""
+    """Minima of several hashes (the buckets), and size and digest of the shingle set of each text."""
 
     def run(batches):
         for batch in slices(batches, limit=1 << 19):
-            fp = fingerprints(batch.column("text"), shingle)
             rows, buckets, sizes, same = [], [], [], []
             for i, h in _shingle_sets(batch.column("text"), shingle):
                 rows.append(i)
@@ -256,7 +255,7 @@ def _marks(shingle: int):
                 sizes.append(len(h))
                 same.append(hashlib.blake2b(h.tobytes(), digest_size=16).digest())
             take = pa.array(rows, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("rk").take(take), longs(fp[rows]) if rows else pa.array([], pa.int64()), pa.array(buckets, pa.list_(pa.int64())), pa.array(sizes, pa.int32()), pa.array(same, pa.binary())], names=["rk", "fp", "minima", "size", "same"])
+            yield pa.RecordBatch.from_arrays([batch.column("rk").take(take), pa.array(buckets, pa.list_(pa.int64())), pa.array(sizes, pa.int32()), pa.array(same, pa.binary())], names=["rk", "minima", "size", "same"])
 
     return run
 
@@ -275,8 +274,8 @@ def _whole_sets(shingle: int):
     return run
 
 
-def _similar(sets: list[np.ndarray], fp: np.ndarray, similarity: float, radius: int):
-    """Pairs (p, q) that connect all sets within the radius whose Jaccard similarity is ``similarity`` or more.
+def _similar(sets: list[np.ndarray], similarity: float):
+    """Pairs (p, q) that connect all sets whose Jaccard similarity is ``similarity`` or more.
 
     Such sets differ in size by that factor at most, and share one of the first ``n - ceil(similarity * n) + 1`` members of each, in any order that all
     sets have; rare members come first here. Pairs that pass both, and are not connected already, are counted in full.
@@ -307,7 +306,7 @@ def _similar(sets: list[np.ndarray], fp: np.ndarray, similarity: float, radius:
             continue
         others = np.unique(np.concatenate(near))
         small, large = np.minimum(size[others], size[p]), np.maximum(size[others], size[p])
-        others = others[(small >= similarity * large - 1e-9) & (np.bitwise_count(fp[others] ^ fp[p]) <= radius)]
+        others = others[small >= similarity * large - 1e-9]
         mark[mine] = True
         for i in range(0, len(others), 1024):
             some = others[i : i + 1024]
@@ -323,38 +322,37 @@ def _similar(sets: list[np.ndarray], fp: np.ndarray, similarity: float, radius:
         mark[mine] = False
 
 
-def _verified(radius: int, similarity: float):
-    """Rows come sorted by bucket: links that join all texts of a bucket within the radius and of enough similarity."""
+def _verified(similarity: float):
+    """Rows come sorted by bucket: links that join all texts of a bucket of enough similarity."""
 
     def run(batches):
-        last, keys, fps, sets, kind = None, [], [], [], None
+        last, keys, sets, kind = None, [], [], None
 
         def flush():
             if len(keys) > 1:
-                pairs = list(_similar([np.frombuffer(x, np.uint64) for x in sets], np.array(fps, np.int64).view(np.uint64), similarity, radius))
+                pairs = list(_similar([np.frombuffer(x, np.uint64) for x in sets], similarity))
                 if pairs:
                     yield pa.RecordBatch.from_arrays([pa.array([keys[p] for p, _ in pairs], kind), pa.array([keys[q] for _, q in pairs], kind)], names=["a", "b"])
 
         for batch in batches:
             kind = batch.column("rk").type
-            for b, rk, fp, x in zip(batch.column("bucket").to_pylist(), batch.column("rk").to_pylist(), batch.column("fp").to_pylist(), batch.column("shingles").to_pylist(), strict=True):
+            for b, rk, x in zip(batch.column("bucket").to_pylist(), batch.column("rk").to_pylist(), batch.column("shingles").to_pylist(), strict=True):
                 if b != last:
                     yield from flush()
-                    last, keys, fps, sets = b, [], [], []
+                    last, keys, sets = b, [], []
                 keys.append(rk)
-                fps.append(fp)
                 sets.append(x)
         yield from flush()
 
     return run
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, radius: int = 20, part: int = 4096, part_bytes: int = 8 << 20) -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, part: int = 4096, part_bytes: int = 8 << 20) -> DataFrame:
     """The columns of docs with ``component``: the key of the first document of its group of near duplicates.
 
     docs: ``doc_id, text`` and any other columns. Two texts are near duplicates where the Jaccard similarity of their word shingles (A-Z in
     lower case; of fewer words, all of them) is ``similarity`` or more. Texts that share the minimum of one of six hashes over their
-    shingles are compared: those within the radius by fingerprint, by their whole sets of shingle hashes (64 bits), which are made again for the texts of shared
+    shingles are compared by their whole sets of shingle hashes (64 bits), which are made again for the texts of shared
     buckets only. A pair at the threshold shares none of the six with a chance of 0.2^6. Texts of equal sets are compared once. Buckets of over
     ``part`` texts or ``part_bytes`` of hashes are dealt out by pairs of their parts.
 
@@ -363,20 +361,20 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
     key = document_key(docs)
     rows = docs.select(key.alias("rk"), F.coalesce("text", F.lit("")).alias("text"))
     rk = rows.schema["rk"].dataType.simpleString()
-    marked = materialize(rows.mapInArrow(_marks(shingle), f"rk {rk}, fp long, minima array<long>, size int, same binary"))
+    marked = materialize(rows.mapInArrow(_marks(shingle), f"rk {rk}, minima array<long>, size int, same binary"))
     first = materialize(marked.groupBy("same").agg(F.min("rk").alias("rk")))
     reps = marked.join(first.select("rk"), "rk", "left_semi").dropDuplicates(["rk"]) if rk != "bigint" else marked.join(first.select("rk"), "rk", "left_semi")
-    dealt = materialize(reps.select("rk", "fp", "size", F.posexplode("minima").alias("t", "m")).withColumn("bucket", F.xxhash64("t", "m")).drop("t", "m"))
+    dealt = materialize(reps.select("rk", "size", F.posexplode("minima").alias("t", "m")).withColumn("bucket", F.xxhash64("t", "m")).drop("t", "m"))
     parts = F.ceil(F.greatest(F.col("count") / part, 8 * F.col("total") / part_bytes)).cast("int")
     sizes = materialize(dealt.groupBy("bucket").agg(F.count("*").alias("count"), F.sum("size").alias("total")).where("count > 1").select("bucket", parts.alias("parts")))
     own, other = F.pmod(F.xxhash64("rk"), F.col("parts")).cast("int"), F.sequence(F.lit(0), F.col("parts") - 1)
     split = dealt.join(sizes, "bucket").withColumn("bucket", F.explode(F.transform(other, lambda o: F.xxhash64("bucket", F.least(own, o), F.greatest(own, o)))))
-    split = materialize(split.select("bucket", "rk", "fp"))
+    split = materialize(split.select("bucket", "rk"))
     # whole sets are made for the texts of shared buckets only
     shared = rows.join(split.select("rk").distinct(), "rk", "left_semi")
     sets = (shared if rk == "bigint" else shared.dropDuplicates(["rk"])).mapInArrow(_whole_sets(shingle), f"rk {rk}, shingles binary")
     n = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    links = split.join(sets, "rk").select("bucket", "rk", "fp", "shingles").repartition(n, "bucket").sortWithinPartitions("bucket", "rk").mapInArrow(_verified(radius, similarity), f"a {rk}, b {rk}")
+    links = split.join(sets, "rk").select("bucket", "rk", "shingles").repartition(n, "bucket").sortWithinPartitions("bucket", "rk").mapInArrow(_verified(similarity), f"a {rk}, b {rk}")
     found = connected_components(links, "a", "b")
     groups = first.join(found.withColumnRenamed("node", "rk"), "rk", "left").select("same", F.coalesce("component", "rk").alias("component"))
     component = materialize(marked.select("rk", "same").distinct().join(groups, "same").select(F.col("rk").alias("_cf_rk"), F.col("component").alias("_cf_component")))

@@ -135,6 +135,16 @@ def test_near_duplicates_long_texts(spark):
         assert {x.doc_id: x.component for x in sh.near_duplicates(frame, part_bytes=part_bytes).collect()} == want
 
 
+def test_near_duplicates_repeat_counts(spark):
+    """Copies in which a passage recurs many times: equal or nearly equal sets, far fingerprints."""
+    texts = {}
+    for g in range(30):
+        body, passage = " ".join(f"g{g}b{x}" for x in range(300)), " ".join(f"g{g}p{x}" for x in range(12))
+        texts[10 * g], texts[10 * g + 1] = f"{body} {passage}", " ".join([body] + [passage] * 100)
+    frame = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    assert {x.doc_id: x.component for x in sh.near_duplicates(frame).collect()} == {i: i // 10 * 10 for i in texts}
+
+
 def test_decontaminate(spark, docs, df):
     some = docs[10].split()
     items = [(7, " ".join(some[2:25])), (12, "short item"), (3, None), (4, ""), (100, docs[20]), (7, " ".join(some[2:25])), (5, "ab ab ab")]
