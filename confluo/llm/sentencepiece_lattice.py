@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +35,7 @@ def piece_table(model_file: str) -> tuple[list[tuple[str, int, float]], int]:
     ranks = all(m.get_score(i) == int(m.get_score(i)) for i in plain)
     for i in plain:
         p = m.id_to_piece(i)
-        if p and MARK not in p[1:]:
+        if p:
             rows.append((p, i, (1e9 if ranks else 0.0) - m.get_score(i)))
     return rows, zero
 
@@ -42,7 +43,7 @@ def piece_table(model_file: str) -> tuple[list[tuple[str, int, float]], int]:
 def lattice(units: DataFrame, pieces: DataFrame, longest: int) -> DataFrame:
     """``unit, ids``: the cheapest path of each distinct unit. A negative id -1-c is the character c, which no piece covers.
 
-    A unit is a flag, 1 where a space (or the text's start) comes before it, and the characters. Substrings of at most ``longest``
+    A unit is as ``_units`` and ``_joined`` give it. Substrings of at most ``longest``
     characters are exploded and joined to the piece table, which is of fixed size; edges are gathered by unit in place, as units are
     already dealt by unit. The fold keeps the best edge into each place: least cost, then the longer last piece, then the smaller id.
     """
@@ -51,8 +52,7 @@ def lattice(units: DataFrame, pieces: DataFrame, longest: int) -> DataFrame:
     subs = starts.select("unit", "t", "n", "s", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), F.col("n") - F.col("s") + 1))).alias("l"))
     subs = subs.select("unit", "n", (F.col("s") - 1).alias("a"), "l", F.substring("t", F.col("s"), F.col("l")).alias("piece"))
     # a mark that is no space matches no piece
-    literal = F.startswith("piece", F.lit(MARK)) & ~((F.col("a") == 0) & F.startswith("unit", F.lit("1")))
-    subs = subs.withColumn("piece", F.when(literal, F.concat(F.lit("\x00"), "piece")).otherwise(F.col("piece")))
+    subs = subs.withColumn("piece", F.when(F.col("unit") == _LITERAL, F.lit("\x00" + MARK)).otherwise(F.col("piece")))
     joined = subs.join(F.broadcast(pieces), "piece", "left").where("id is not null or l = 1")
     char = F.when(F.startswith("piece", F.lit("\x00")) & (F.length("piece") > 1), F.substr("piece", F.lit(2))).otherwise(F.col("piece"))
     id_ = F.coalesce("id", -1 - F.ascii(char)).cast("int")
@@ -80,27 +80,42 @@ def lattice(units: DataFrame, pieces: DataFrame, longest: int) -> DataFrame:
     return folded.select("unit", F.aggregate(F.sequence(F.lit(1), F.col("n")), start, back)["ids"].alias("ids"))
 
 
-def _units(text: str) -> list[str]:
-    """The units of a text in order; empty text has none."""
+_LITERAL = "0" + MARK
+_UNIT = re.compile("\n| +(?= [^ \n])| [^ \n]+| +|[^ \n]+")
+
+
+def crossed(pieces: list[str]) -> bool:
+    """Whether a piece holds a space after another character, or a line's end beside others: then texts can't be cut there."""
+    return any(("\n" in p and len(p) > 1) or MARK in p.lstrip(MARK) for p in pieces)
+
+
+def _units(text: str, whole: bool = False) -> list[str]:
+    """The units of a text in order; empty text has none.
+
+    A unit is a word with the space before it, the other spaces of a run, a line's end, or a mark that is no space. It is written as a flag, 1 where
+    its first space is left out, and the characters, other spaces as marks. The text's start counts as a space. whole: cut at such marks only.
+    """
     if not text:
         return []
     out = []
-    for word in text.split(" "):
-        if "\n" not in word and len(word) < LONGEST:
-            out.append("1" + word)
-            continue
-        flag = "1"
-        for i, part in enumerate(word.split("\n")):
-            if i:
-                if flag == "1":
-                    out.append("1")  # a space right before the line's end
-                out.append("0\n")
-                flag = "0"
-            for j in range(0, len(part), LONGEST - 1):
-                out.append(flag + part[j : j + LONGEST - 1])
-                flag = "0"
-        if flag == "1":
-            out.append("1")
+    for i, plain in enumerate(text.split(MARK)):
+        if i:
+            out.append(_LITERAL)
+        z = plain if i else " " + plain
+        for u in ([z] if z else []) if whole else _UNIT.findall(z):
+            u = u.replace(" ", MARK)
+            out.append("1" + u[1:] if u[0] == MARK else "0" + u)
+    return [x for u in out for x in (u[:LONGEST], *("0" + u[j : j + LONGEST - 1] for j in range(LONGEST, len(u), LONGEST - 1)))]
+
+
+def _joined(units: list[str]) -> list[str]:
+    """Runs of spaces together with the word after them: pieces can cross there."""
+    out: list[str] = []
+    for u in units:
+        if u[0] == "1" and out and out[-1][0] == "1" and not out[-1][1:].strip(MARK):
+            out[-1] += MARK + u[1:]
+        else:
+            out.append(u)
     return out
 
 
@@ -116,7 +131,7 @@ def _from_planes(b: bytes) -> np.ndarray:
     return np.ascontiguousarray(raw.reshape(4, -1).T).view("<i4").ravel()
 
 
-def _pack(buckets: int, limit: int):
+def _pack(buckets: int, limit: int, whole: bool):
     """Documents by the part: their units as numbers, and the distinct units by bucket."""
 
     def run(batches):
@@ -124,7 +139,7 @@ def _pack(buckets: int, limit: int):
             numbers: dict[str, int] = {}
             seq, counts = [], []
             for t in batch.column("text").to_pylist():
-                u = _units(t or "")
+                u = _joined(_units(t or "", whole))
                 seq += [numbers.setdefault(x, len(numbers)) for x in u]
                 counts.append(len(u))
             units = list(numbers)
@@ -246,7 +261,7 @@ def encode(docs: DataFrame, model_file: str, part_bytes: int = 4 << 20) -> DataF
     """``doc_id, ids`` of each row of docs (``doc_id, text``): the cheapest path through the piece table.
 
     Spaces count as the mark that pieces have for them, one more stands before the text; a character that no piece covers
-    becomes its UTF-8 bytes' ids. No piece crosses a space or a line's end, so the lattice is built once for each distinct unit of the corpus.
+    becomes its UTF-8 bytes' ids. Texts are cut where no piece of the table can cross (``_units``), so the lattice is built once for each distinct unit of the corpus.
     Documents travel as numbers of units, in parts of about ``part_bytes`` of text; a part asks for its units by bucket and is
     put together from the answers.
 
@@ -255,6 +270,7 @@ def encode(docs: DataFrame, model_file: str, part_bytes: int = 4 << 20) -> DataF
     """
     spark = docs.sparkSession
     rows, zero = piece_table(model_file)
+    whole = crossed([p for p, _, _ in rows])
     pieces = spark.createDataFrame(rows, "piece string, id int, cost double")
     key = document_key(docs)
     texts = docs.select(key.alias("rk"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
@@ -262,7 +278,7 @@ def encode(docs: DataFrame, model_file: str, part_bytes: int = 4 << 20) -> DataF
     if rk != "bigint":
         texts = texts.dropDuplicates(["rk"])
     buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    packed = materialize(texts.select("rk", "text").mapInArrow(_pack(buckets, part_bytes), f"part long, bucket int, names array<{rk}>, body binary, counts binary"))
+    packed = materialize(texts.select("rk", "text").mapInArrow(_pack(buckets, part_bytes, whole), f"part long, bucket int, names array<{rk}>, body binary, counts binary"))
     asked = packed.where("bucket >= 0")
     # many small tasks: the edges of a task's units are sorted in memory
     units = asked.select("body").mapInArrow(_distinct, "unit string").repartition(4 * buckets, "unit").distinct()

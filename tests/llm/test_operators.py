@@ -3,6 +3,7 @@ import zlib
 
 import numpy as np
 import pytest
+import sentencepiece
 from pyspark.sql import functions as F
 
 from confluo.llm import simhash as sh
@@ -248,3 +249,33 @@ def test_sentencepiece(spark, docs, df):
         if r.doc_id in (0, 5, 202, 206):
             assert r.ids == [x for u in _units(docs[r.doc_id] or "") for x in best(u)]
     assert encode(df.limit(0), MODEL).count() == 0
+
+
+def whole_path(text):
+    """Ids of the cheapest path of a whole text over the full vocabulary: fewest pieces, then best ranks."""
+    m = sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    pieces = {m.id_to_piece(i): (i, 1e9 - m.get_score(i)) for i in range(m.get_piece_size()) if not (m.is_byte(i) or m.is_control(i) or m.is_unknown(i) or m.is_unused(i))}
+    s = "▁" + text.replace("▁", "\ufff9").replace(" ", "▁") if text else ""
+    longest, to = max(map(len, pieces)), [(0.0, 0, 0)]
+    for e in range(1, len(s) + 1):
+        some = [(to[a][0] + pieces[s[a:e]][1], a, pieces[s[a:e]][0]) for a in range(max(0, e - longest), e) if s[a:e] in pieces]
+        to.append(min(some or [(to[e - 1][0] + 4e9, e - 1, -1)]))
+    ids, at = [], len(s)
+    while at:
+        a = to[at][1]
+        ids = ([to[at][2]] if to[at][2] >= 0 else [m.piece_to_id(f"<0x{x:02X}>") for x in s[a:at].replace("\ufff9", "▁").encode()]) + ids
+        at = a
+    return ids
+
+
+def encoded(spark, texts):
+    out = encode(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2), MODEL)
+    rows = {r.doc_id: r for r in out.select("doc_id", "ids", decode(F.col("ids"), MODEL).alias("text")).collect()}
+    assert [rows[i].text for i in range(len(texts))] == texts
+    return [rows[i].ids for i in range(len(texts))]
+
+
+def test_sentencepiece_runs_of_spaces(spark):
+    texts = ["a    b", "def f(x):\n    if x:\n        return  1\n\t  # end   \n", "   ", " ", "\n  \n", " ▁  ▁▁ x ▁", *(f"x{' ' * n}y{' ' * n}" for n in range(1, 40)), "▁" * 5 + "  two"]
+    assert encoded(spark, texts) == [whole_path(t) for t in texts]
+    assert len(encoded(spark, ["a    b"])[0]) == 3
