@@ -18,7 +18,7 @@ from confluo.llm._base import document_key, slices
 from confluo.storage import materialize
 
 MARK = "▁"
-#: An unbroken word of more code points is encoded in stretches of this length.
+#: The path of a longer unit is folded place by place in Arrow batches: the relational fold copies its state at each.
 LONGEST = 1024
 
 
@@ -105,7 +105,7 @@ def _units(text: str, whole: bool = False) -> list[str]:
         for u in ([z] if z else []) if whole else _UNIT.findall(z):
             u = u.replace(" ", MARK)
             out.append("1" + u[1:] if u[0] == MARK else "0" + u)
-    return [x for u in out for x in (u[:LONGEST], *("0" + u[j : j + LONGEST - 1] for j in range(LONGEST, len(u), LONGEST - 1)))]
+    return out
 
 
 def _joined(units: list[str]) -> list[str]:
@@ -154,8 +154,8 @@ def _pack(buckets: int, limit: int, whole: bool):
             lists = [zstandard.compress(b"".join(len(x).to_bytes(4, "little") + x for x in (units[j].encode() for j in order[cut[i] : cut[i + 1]])), 3) for i in asked]
             n = len(asked)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([part] * (n + 1), pa.int64()), pa.array([-1, *asked], pa.int32()), pa.array([keys.to_pylist(), *[None] * n], pa.list_(keys.type)), pa.array([_bytes_planes(place[np.array(seq, np.int64)] if seq else np.zeros(0)), *lists], pa.binary()), pa.array([_bytes_planes(np.array(counts)), *[None] * n], pa.binary())],
-                names=["part", "bucket", "names", "body", "counts"],
+                [pa.array([part] * (n + 1), pa.int64()), pa.array([-1, *asked], pa.int32()), pa.array([keys.to_pylist(), *[None] * n], pa.list_(keys.type)), pa.array([_bytes_planes(place[np.array(seq, np.int64)] if seq else np.zeros(0)), *lists], pa.binary()), pa.array([_bytes_planes(np.array(counts)), *[None] * n], pa.binary()), pa.array([False, *(any(len(units[j]) > LONGEST for j in order[cut[i] : cut[i + 1]]) for i in asked)])],
+                names=["part", "bucket", "names", "body", "counts", "long"],
             )
 
     return run
@@ -170,16 +170,47 @@ def _unpack_units(body: bytes) -> list[str]:
     return out
 
 
-def _distinct(batches):
-    """Units that this task has not given lately; what is left of repeats goes in the grouping after."""
-    seen: set[str] = set()
-    for batch in batches:
-        for body in batch.column("body").to_pylist():
-            new = [u for u in _unpack_units(body) if u not in seen]
-            seen.update(new)
-            yield pa.RecordBatch.from_arrays([pa.array(new, pa.string())], names=["unit"])
-            if len(seen) > 400_000:
-                seen.clear()
+def _distinct(long: bool):
+    """Units up to the limit, or those above it, that this task has not given lately; what is left of repeats goes in the grouping after."""
+
+    def run(batches):
+        seen: set[str] = set()
+        for batch in batches:
+            for body in batch.column("body").to_pylist():
+                new = [u for u in _unpack_units(body) if (len(u) > LONGEST) == long and u not in seen]
+                seen.update(new)
+                yield pa.RecordBatch.from_arrays([pa.array(new, pa.string())], names=["unit"])
+                if long or len(seen) > 400_000:
+                    seen.clear()
+
+    return run
+
+
+def _long_paths(rows: list[tuple[str, int, float]]):
+    """As ``lattice``, for long units: each place in order, in time and memory that grow with the length."""
+    longest = max((len(p) for p, _, _ in rows), default=1)
+
+    def run(batches):
+        pieces = {p: (i, cost) for p, i, cost in rows}
+        for batch in batches:
+            for unit in batch.column("unit").to_pylist():
+                t = (MARK if unit[0] == "1" else "") + unit[1:]
+                best, back, ids = [0.0], [0], [0]
+                for b in range(1, len(t) + 1):
+                    now = None
+                    for a in range(max(0, b - longest), b):
+                        got = pieces.get(t[a:b]) or ((-1 - ord(t[a]), 4e9) if b - a == 1 else None)
+                        if got and (now is None or best[a] + got[1] < now[0]):
+                            now = (best[a] + got[1], a, got[0])
+                    for x, y in zip((best, back, ids), now, strict=True):
+                        x.append(y)
+                path, at = [], len(t)
+                while at:
+                    path.append(ids[at])
+                    at = back[at]
+                yield pa.RecordBatch.from_arrays([pa.array([unit], pa.string()), pa.array([path[::-1]], pa.list_(pa.int32()))], names=["unit", "ids"])
+
+    return run
 
 
 def _reply(batches):
@@ -265,7 +296,7 @@ def encode(docs: DataFrame, model_file: str, part_bytes: int = 4 << 20) -> DataF
     Documents travel as numbers of units, in parts of about ``part_bytes`` of text; a part asks for its units by bucket and is
     put together from the answers.
 
-    Null and empty texts give no ids. Unbroken words of over 1023 code points are encoded in stretches. Repeated rows each get
+    Null and empty texts give no ids. Units of any length are encoded whole. Repeated rows each get
     their result; null doc_ids too. No rows: no rows.
     """
     spark = docs.sparkSession
@@ -278,15 +309,16 @@ def encode(docs: DataFrame, model_file: str, part_bytes: int = 4 << 20) -> DataF
     if rk != "bigint":
         texts = texts.dropDuplicates(["rk"])
     buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    packed = materialize(texts.select("rk", "text").mapInArrow(_pack(buckets, part_bytes, whole), f"part long, bucket int, names array<{rk}>, body binary, counts binary"))
+    packed = materialize(texts.select("rk", "text").mapInArrow(_pack(buckets, part_bytes, whole), f"part long, bucket int, names array<{rk}>, body binary, counts binary, long boolean"))
     asked = packed.where("bucket >= 0")
     # many small tasks: the edges of a task's units are sorted in memory
-    units = asked.select("body").mapInArrow(_distinct, "unit string").repartition(4 * buckets, "unit").distinct()
-    paths = materialize(lattice(units, pieces, max(len(p[0]) for p in rows)))
+    units = asked.select("body").mapInArrow(_distinct(False), "unit string").repartition(4 * buckets, "unit").distinct()
+    long = asked.where("long").select("body").mapInArrow(_distinct(True), "unit string").repartition(buckets, "unit").distinct()
+    paths = materialize(lattice(units, pieces, max(len(p[0]) for p in rows)).unionByName(long.mapInArrow(_long_paths(rows), "unit string, ids array<int>")))
     known = paths.select(F.pmod(F.xxhash64("unit"), F.lit(buckets)).cast("int").alias("bucket"), F.lit(0).alias("kind"), "unit", "ids", F.lit(None).cast("long").alias("part"), F.lit(None).cast("binary").alias("body"))
     wanted = asked.select("bucket", F.lit(1).alias("kind"), F.lit(None).cast("string").alias("unit"), F.lit(None).cast("array<int>").alias("ids"), "part", "body")
     replies = known.unionByName(wanted).repartition(buckets, "bucket").sortWithinPartitions("bucket", "kind").mapInArrow(_reply, "part long, bucket int, body binary, counts binary")
-    heads = packed.where("bucket < 0")
+    heads = packed.where("bucket < 0").drop("long")
     both = heads.unionByName(replies.withColumn("names", F.lit(None).cast(f"array<{rk}>")).select(*heads.columns))
     out = both.repartition(buckets, "part").sortWithinPartitions("part", "bucket").mapInArrow(_assemble(zero), f"rk {rk}, ids array<int>")
     if rk != "bigint":

@@ -279,3 +279,10 @@ def test_sentencepiece_runs_of_spaces(spark):
     texts = ["a    b", "def f(x):\n    if x:\n        return  1\n\t  # end   \n", "   ", " ", "\n  \n", " ▁  ▁▁ x ▁", *(f"x{' ' * n}y{' ' * n}" for n in range(1, 40)), "▁" * 5 + "  two"]
     assert encoded(spark, texts) == [whole_path(t) for t in texts]
     assert len(encoded(spark, ["a    b"])[0]) == 3
+
+
+def test_sentencepiece_long_words(spark):
+    r = np.random.default_rng(4)
+    blob, prose = (lambda a, n: "".join(r.choice(list(a), n)))("ABCdefghinrst0123+/", 6000), (lambda a, n: "".join(r.choice(list(a), n)))("中国人民的是一不了在有我他这上们来到时大", 4000)
+    texts = [blob, f"see  {prose} and {blob[:1100]}\n{prose[:2000]}", " " * 3000 + "x", "the" * 1500, *("y" * n for n in (1022, 1023, 1024, 1025))]
+    assert encoded(spark, texts) == [whole_path(t) for t in texts]
