@@ -190,11 +190,12 @@ def _descend(w: np.ndarray, g2: np.ndarray, rows: np.ndarray, err: np.ndarray, r
 
 
 def _train(model: Model, rate: float, minibatch: int, groups: int):
-    """Local gradient steps from the shared weights; one row with the change, weighted by the tokens seen."""
+    """Local gradient steps from the shared weights; one row with the change, each row of weights times the contexts that used it, and their numbers."""
 
     def run(batches):
         m = Model(**{**model.__dict__, "w1": model.w1.copy(), "w2": model.w2.copy()})
         g1, g2, seen = np.zeros_like(m.w1), np.zeros_like(m.w2), 0
+        n1, n2 = np.zeros(ROWS), np.zeros(ROWS)
         for batch in slices(batches):
             t, off = tokens(batch.column("text"))
             c, place, _ = m.classify(t)
@@ -203,13 +204,15 @@ def _train(model: Model, rate: float, minibatch: int, groups: int):
                 part = slice(i, i + minibatch)
                 soft, r1, head, inner, r2 = _forward(m, h[part], c[part], place[part])
                 _descend(m.w1, g1, r1, _errors(soft, c[part]), rate)
+                n1 += np.bincount(r1.ravel(), minlength=ROWS)
                 if len(head):
+                    n2 += np.bincount(r2.ravel(), minlength=ROWS)
                     _descend(m.w2, g2, r2, _errors(inner, place[part][head]), rate)
             seen += len(t)
         if seen:
-            change = np.concatenate([(m.w1 - model.w1).ravel(), (m.w2 - model.w2).ravel()])
+            change = np.concatenate([((m.w1 - model.w1) * n1[:, None]).ravel(), ((m.w2 - model.w2) * n2[:, None]).ravel(), n1, n2])
             group = int(hashlib.blake2b(_blob(change[:4096]), digest_size=4).hexdigest(), 16) % groups
-            yield pa.RecordBatch.from_arrays([pa.array([group], pa.int32()), pa.array([seen], pa.int64()), pa.array([_blob((change * seen).astype(np.float32))], pa.binary())], names=["g", "seen", "change"])
+            yield pa.RecordBatch.from_arrays([pa.array([group], pa.int32()), pa.array([seen], pa.int64()), pa.array([_blob(change.astype(np.float32))], pa.binary())], names=["g", "seen", "change"])
 
     return run
 
@@ -238,7 +241,7 @@ def train_lm(texts: DataFrame, hot: int = 4096, rounds: int = 2, rate: float = 0
 
     Counts are packed by bucket of token numbers before they are shuffled, and stay in the shared folder. The weights are learned in ``rounds``,
     each over its share of the texts, all texts once: every task descends from the shared weights on its own part, changes are summed in steps
-    of a few each and averaged by tokens. The driver holds the model and at most FAN changes of its size.
+    of a few each and averaged, each row by the contexts that used it: a row that one task alone moves keeps its change. The driver holds the model and at most FAN changes of its size.
     """
     spark = texts.sparkSession
     buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
@@ -264,7 +267,7 @@ def train_lm(texts: DataFrame, hot: int = 4096, rounds: int = 2, rate: float = 0
     share = np.concatenate([inner.sum(axis=1), total[:TAILS] + 1]) + 1e-6
     order = np.argsort(ids, kind="stable")
     model = Model(n, v, ids[order], count[order], order, np.log10(total[:TAILS] + kinds[:TAILS] + 1), np.log(share / share.sum()).astype(np.float32), np.log(inner / inner.sum(axis=1, keepdims=True)).astype(np.float32), np.zeros((ROWS, CLASSES), np.float32), np.zeros((ROWS, SIDE), np.float32))
-    size = model.w1.size
+    size, both = model.w1.size, model.w1.size + model.w2.size
     for i in range(rounds):
         part = texts.where(F.pmod(F.xxhash64("text"), F.lit(rounds)) == i)
         tasks = max(1, part.rdd.getNumPartitions())
@@ -278,8 +281,9 @@ def train_lm(texts: DataFrame, hot: int = 4096, rounds: int = 2, rate: float = 0
         changes = summed.collect()
         seen = sum(r["seen"] for r in changes)
         if seen:
-            change = sum(np.frombuffer(r["change"], np.float32).astype(np.float64) for r in changes) / seen
-            model = Model(**{**model.__dict__, "w1": model.w1 + change[:size].reshape(ROWS, CLASSES).astype(np.float32), "w2": model.w2 + change[size:].reshape(ROWS, SIDE).astype(np.float32)})
+            change = sum(np.frombuffer(r["change"], np.float32).astype(np.float64) for r in changes)
+            n1, n2 = np.maximum(change[both:].reshape(2, ROWS, 1), 1)
+            model = Model(**{**model.__dict__, "w1": model.w1 + (change[:size].reshape(ROWS, CLASSES) / n1).astype(np.float32), "w2": model.w2 + (change[size:both].reshape(ROWS, SIDE) / n2).astype(np.float32)})
     return model, counted
 
 

@@ -197,6 +197,23 @@ def test_language_model(spark, docs, df):
     assert all(r.train_tokens == 0 and r.n_known == 0 for r in nothing)
 
 
+def test_language_model_held_out_gain(spark):
+    """Contexts tell the next word of each group; groups lie in partitions of their own, few or many."""
+    r = np.random.default_rng(6)
+    rows = []
+    for g in range(24):
+        for _ in range(40):
+            at = np.cumsum(np.where(r.random(50) < 0.95, 1, r.integers(0, 10, 50))) % 10
+            rows.append((len(rows), " ".join(f"g{g}w{x}" for x in at)))
+    gain = {}
+    for n in (1, 24):
+        # one slice of the list for each partition
+        frame = spark.createDataFrame(spark.sparkContext.parallelize(rows, n), "doc_id long, text string")
+        got = lm_score(frame, F.col("doc_id") % 4 != 0, minibatch=256).where("doc_id % 4 = 0").agg(F.sum("score") - F.sum("base_score"), F.sum("n_tokens")).first()
+        gain[n] = got[0] / got[1]
+    assert gain[1] > 0.1 and gain[24] > 0.7 * gain[1]
+
+
 def test_quality(spark):
     r = np.random.default_rng(2)
     good = [" ".join(f"word{x} flows" for x in r.integers(0, 50, 12)) for _ in range(150)]
