@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from bisect import bisect_left
+from bisect import bisect_left, insort
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -102,40 +103,65 @@ def patience(a: list, b: list) -> list[tuple[int, int]]:
 
 def _scan(templates: dict[str, list[bytes]], least: float):
     names = list(templates)
-    grams: dict[int, set[int]] = {}
+    grams: dict[int, dict[int, list[int]]] = {}  # places in each template
     for t, words in enumerate(templates.values()):
         data = np.frombuffer(b" ".join(words), np.uint8)
         starts, ends, _ = word_spans(data, np.array([0, len(data)]))
-        for h in rolling_hash(word_hashes(data, starts, ends), min(_GRAM, len(words))).tolist():
-            grams.setdefault(h, set()).add(t)
+        for q, h in enumerate(rolling_hash(word_hashes(data, starts, ends), min(_GRAM, len(words))).tolist()):
+            grams.setdefault(h, {}).setdefault(t, []).append(q)
     known = np.array(sorted(grams), np.uint64)
 
-    def found(words: list[bytes], hits: list[tuple[int, int]]) -> list[dict]:
-        """hits: (place, template) of shared word pairs of one text, in order."""
-        out = []
-        for t in sorted({t for _, t in hits}):
-            size = len(templates[names[t]])
-            at = [p for p, x in hits if x == t]
-            i = 0
+    def stretches(words: list[bytes], t: int, at: list[int], shifts: list[list[int]], lo: int, hi: int):
+        """Alignments with a template in [lo, hi) that don't overlap, best coverage first; then those of the places left between them.
+
+        at: places of shared word pairs, in order; shifts: where the template would start, by each of its places with that pair.
+        """
+        template, size = templates[names[t]], len(templates[names[t]])
+        todo = [(lo, hi)]
+        while todo:
+            lo, hi = todo.pop()
+            x, y = bisect_left(at, lo), bisect_left(at, hi)
+            # enough pairs and words to cover what it must of the template
+            if (y - x) * (_GRAM + 1) < least * size / 2 or hi - lo < least * size:
+                continue
+            votes = Counter(d for ds in shifts[x:y] for d in ds)
+            windows = {(s, min(hi, s + 3 * size)) for s in range(lo, max(lo + 1, hi - size), size)}
+            windows |= {(max(lo, d - slack), min(hi, d + size + slack)) for d, n in votes.items() if 16 * n >= least * size for slack in (0, size // 4, size)}
+            made = []
+            for s, e in windows:
+                if e - s >= least * size:
+                    pairs = patience(words[s:e], template)
+                    if len(pairs) >= least * size:
+                        made.append((-len(pairs) / size, pairs[-1][0] - pairs[0][0], s + pairs[0][0], s + pairs[-1][0] + 1))
+            taken: list[tuple[int, int]] = []
+            for coverage, _, start, end in sorted(made):
+                i = bisect_left(taken, (start, end))
+                if (i == 0 or taken[i - 1][1] <= start) and (i == len(taken) or end <= taken[i][0]):
+                    insort(taken, (start, end))
+                    yield {"license": names[t], "coverage": -coverage, "start": start, "end": end}
+            if taken:
+                todo += [(a, b) for (_, a), (b, _) in zip([(lo, lo), *taken], [*taken, (hi, hi)], strict=True)]
+
+    def found(words: list[bytes], hits: list[tuple[int, int, list[int]]]) -> list[dict]:
+        """hits: (place, template, places in it) of shared word pairs of one text, in order."""
+        out, by = [], {}
+        for p, t, qs in hits:
+            at, shifts = by.setdefault(t, ([], []))
+            at.append(p)
+            shifts.append([p - q for q in qs])
+        for t in sorted(by):
+            size, (at, shifts) = len(templates[names[t]]), by[t]
+            i = free = 0
             while i < len(at):
                 j = i
                 while j + 1 < len(at) and at[j + 1] - at[j] <= size:
                     j += 1
                 # the cluster covers what it can of the template only if it has enough pairs
                 if (j - i + 1) * (_GRAM + 1) >= least * size / 2:
-                    # a long cluster holds repeats of the notice; each stretch of the template's length is aligned by itself
-                    lo = max(0, at[i] - size)
-                    hi = min(len(words), at[j] + size)
-                    step = max(1, size)
-                    best = None
-                    for s in range(lo, max(lo + 1, hi - size), step):
-                        e = min(hi, s + 3 * size)
-                        pairs = patience(words[s:e], templates[names[t]])
-                        coverage = len(pairs) / size
-                        if coverage >= least and (best is None or coverage > best["coverage"]):
-                            best = {"license": names[t], "coverage": coverage, "start": s + pairs[0][0], "end": s + pairs[-1][0] + 1}
-                    if best:
-                        out.append(best)
+                    hi = min(len(words), at[j] + size, at[j + 1] if j + 1 < len(at) else len(words))
+                    some = list(stretches(words, t, at, shifts, max(free, at[i] - size), hi))
+                    free = max([free, *(x["end"] for x in some)])
+                    out += some
                 i = j + 1
         return sorted(out, key=lambda x: (-x["coverage"], -len(templates[x["license"]]), x["license"], x["start"]))
 
@@ -154,7 +180,7 @@ def _scan(templates: dict[str, list[bytes]], least: float):
             inside = hit + _GRAM <= first[doc + 1]
             by: dict[int, list] = {}
             for d, p, h in zip(doc[inside].tolist(), hit[inside].tolist(), g[hit[inside]].tolist(), strict=True):
-                by.setdefault(d, []).extend((p - int(first[d]), t) for t in grams[h])
+                by.setdefault(d, []).extend((p - int(first[d]), t, qs) for t, qs in grams[h].items())
             out = [[] for _ in range(len(batch))]
             raw = data.tobytes()
             for d, hits in by.items():
@@ -169,7 +195,7 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, leas
     """The columns of docs with ``licenses``: array of (license, coverage, start, end), best coverage first, longer templates before shorter.
 
     docs: ``text`` and any other columns. Words are runs of letters and digits once A-Z are in lower case. Wherever word pairs of a template
-    occur, the stretch around them is aligned with it; coverage is the share of the template's words that align, and ``least`` of them must.
+    occur, the stretch around them is aligned with it, and each alignment that overlaps no better one of the same template is given; coverage is the share of the template's words that align, and ``least`` of them must.
     start and end are word places. templates: texts by name, sent to the tasks.
 
     Null and empty texts have none. Rows are scanned one by one, so repeated rows and null ids don't matter. A column named licenses is replaced.

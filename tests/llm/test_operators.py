@@ -238,6 +238,18 @@ def test_licenses(spark):
     assert got[5] == [("MIT notice", 1.0)]
 
 
+def test_licenses_several_copies(spark):
+    mit, notice = TEMPLATES["MIT"], TEMPLATES["MIT notice"]
+    text = " ".join(f"it is the use of the software to the w{i} and in the" for i in range(30))
+    edited = mit.replace("without restriction", "with no restriction at all")
+    rows = [(1, f"{text} {mit} {text} {edited} {text} {mit} {text}"), (2, " ".join([mit] * 4)), (3, f"x {notice} {notice} y {notice}"), (4, f"{mit}\n" * 2 + f"a {edited}"), (5, text)]
+    out = {r.doc_id: r.licenses for r in scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    got = {i: sorted((x.start, x.end, x.coverage > 0.95) for x in v if x.license in ("MIT", "MIT notice")) for i, v in out.items()}
+    assert [len(got[i]) for i in range(1, 6)] == [3, 4, 3, 3, 0]
+    assert all(near and (i == 3 or b - a <= 170) for i, v in got.items() for a, b, near in v)
+    assert all(x[1] <= y[0] for v in got.values() for x, y in zip(v, v[1:], strict=False))
+
+
 def test_sentencepiece(spark, docs, df):
     out = encode(df, MODEL)
     rows = out.select("doc_id", "ids", decode(F.col("ids"), MODEL).alias("text")).collect()
