@@ -1,128 +1,175 @@
-"""SentencePiece encoding and decoding: a relational lattice over the distinct words, folded by Viterbi."""
+"""SentencePiece encoding and decoding: a relational lattice over the distinct units of the corpus, folded by Viterbi."""
 
 from __future__ import annotations
 
 import hashlib
-import re
 
 import numpy as np
 import pyarrow as pa
 import sentencepiece
-import xxhash
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from confluo.llm._base import document_key, slices
+from confluo.llm._base import document_key, prefix_hash, slices, span_hash
 from confluo.storage import materialize
 
 MARK = "▁"
 #: The path of a longer unit is folded place by place in Arrow batches: the relational fold copies its state at each.
 LONGEST = 1024
+#: A node of the fold is one long: cost, then how much shorter than 63 its last piece is, then the piece's id.
+_ID, _SHORT = 19, 6
+_NO_PIECE = (1 << _ID) - 1
+_COST, _RANKS = 28, 25
+#: Stands for a mark that is no space: no unit of a text can look like this.
+_LITERAL = "\x00" + MARK
 
 
-def piece_table(model_file: str) -> tuple[list[tuple[str, int, float]], int]:
-    """(piece, id, cost) of the pieces that text can match, and the id of byte 0.
+def piece_table(model_file: str) -> tuple[list[tuple[str, int, int]], int, int]:
+    """(piece, id, cost) of the pieces that text can match, the cost of a character that no piece covers, and the id of byte 0.
 
-    A path's cost is the negative sum of scores. The scores of a BPE model are ranks of merges and no log
-    probabilities: their sums would prefer many frequent scraps, so there each piece costs 1e9 more, and paths of fewest
-    pieces come first, then those of best ranks.
+    A path's cost is the sum of its pieces' costs. Log probabilities count in steps of 1/4096, and an uncovered character costs ten more than the worst piece. The scores of a
+    BPE model are ranks of merges and no log probabilities: their sums would prefer many frequent scraps, so there paths of
+    fewest pieces come first, then those of best ranks. A cost is then a number of pieces above ``_RANKS`` bits and a rank below: a character counts as four pieces, and
+    pieces of a score of -1e9 (runs of spaces) as two.
     """
     m = sentencepiece.SentencePieceProcessor(model_file=model_file)
-    rows, zero = [], next((i for i in range(m.get_piece_size()) if m.id_to_piece(i) == "<0x00>"), -1)
-    plain = [i for i in range(m.get_piece_size()) if not (m.is_byte(i) or m.is_control(i) or m.is_unknown(i) or m.is_unused(i))]
-    ranks = all(m.get_score(i) == int(m.get_score(i)) for i in plain)
-    for i in plain:
-        p = m.id_to_piece(i)
-        if p:
-            rows.append((p, i, (1e9 if ranks else 0.0) - m.get_score(i)))
-    return rows, zero
-
-
-def lattice(units: DataFrame, pieces: DataFrame, longest: int) -> DataFrame:
+    n = m.get_piece_size()
+    zero = next((i for i in range(n) if m.id_to_piece(i) == "<0x00>"), -1)
+    plain = [(m.id_to_piece(i), i, m.get_score(i)) for i in range(n) if m.id_to_piece(i) and not (m.is_byte(i) or m.is_control(i) or m.is_unknown(i) or m.is_unused(i))]
+    if all(score == int(score) for _, _, score in plain):
+        split = [divmod(10**9 - int(score), 10**9) for _, _, score in plain]
+        rows, other = [(p, i, n << _RANKS | rank) for (p, i, _), (n, rank) in zip(plain, split, strict=True)], 4 << _RANKS
+        if max(rank for _, rank in split) * LONGEST >= 1 << _RANKS:
+            raise ValueError("the model has ranks beyond the lattice's range")
+    else:
+        rows = [(p, i, round(-4096 * score)) for p, i, score in plain]
+        other = max(cost for _, _, cost in rows) + 40960
+    if any(not 0 <= c < 1 << _COST for c in (other, *(r[2] for r in rows))) or n > _NO_PIECE or any(len(r[0]) > 63 for r in rows):
+        raise ValueError("the model has scores, ids or pieces beyond the lattice's range")
+    return rows, other, zero
+
+
+def lattice(units: DataFrame, rows: list[tuple[str, int, int]], other: int) -> DataFrame:
     """``unit, ids``: the cheapest path of each distinct unit. A negative id -1-c is the character c, which no piece covers.
 
-    A unit is as ``_units`` and ``_joined`` give it. Substrings of at most ``longest``
-    characters are exploded and joined to the piece table, which is of fixed size; edges are gathered by unit in place, as units are
-    already dealt by unit. The fold keeps the best edge into each place: least cost, then the longer last piece, then the smaller id.
+    Substrings are exploded, up to the longest piece that begins as they do, and joined to the piece table, which is of fixed size; edges are
+    gathered by unit in place, as units are already dealt by unit. The fold appends the best edge into each place: least cost,
+    then the longer last piece, then the smaller id. Edges come by the place they end at, the one of a single character last.
     """
-    text = F.concat(F.when(F.startswith("unit", F.lit("1")), MARK).otherwise(""), F.substr("unit", F.lit(2)))
-    starts = units.select("unit", text.alias("t")).withColumn("n", F.length("t")).select("unit", "t", "n", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("s"))
-    subs = starts.select("unit", "t", "n", "s", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), F.col("n") - F.col("s") + 1))).alias("l"))
-    subs = subs.select("unit", "n", (F.col("s") - 1).alias("a"), "l", F.substring("t", F.col("s"), F.col("l")).alias("piece"))
-    # a mark that is no space matches no piece
-    subs = subs.withColumn("piece", F.when(F.col("unit") == _LITERAL, F.lit("\x00" + MARK)).otherwise(F.col("piece")))
-    joined = subs.join(F.broadcast(pieces), "piece", "left").where("id is not null or l = 1")
-    char = F.when(F.startswith("piece", F.lit("\x00")) & (F.length("piece") > 1), F.substr("piece", F.lit(2))).otherwise(F.col("piece"))
-    id_ = F.coalesce("id", -1 - F.ascii(char)).cast("int")
-    cost = F.coalesce("cost", F.lit(4e9))
-    edge = F.struct((F.col("a") + F.col("l")).alias("b"), F.col("a"), id_.alias("id"), cost.alias("cost"))
-    grouped = joined.groupBy("unit").agg(F.collect_list(edge).alias("edges"), F.max("n").alias("n"))
+    spark = units.sparkSession
+    pieces = spark.createDataFrame([(p, cost << (_ID + _SHORT) | (63 - len(p)) << _ID | i) for p, i, cost in rows], "piece string, node long")
+    far: dict[str, int] = {}
+    for p, _, _ in rows:
+        if len(p) > 3:
+            far[p[:3]] = max(far.get(p[:3], 0), len(p))
+    heads = spark.createDataFrame(sorted(far.items()), "head string, far int")
+    starts = units.select("unit", F.explode(F.sequence(F.lit(1), F.length("unit"))).alias("s"))
+    starts = starts.withColumn("head", F.substring("unit", F.col("s"), F.lit(3))).join(F.broadcast(heads), "head", "left")
+    last = F.least(F.coalesce("far", F.lit(3)), F.length("unit") - F.col("s") + 1)
+    subs = starts.select("unit", "s", F.explode(F.sequence(F.lit(1), last)).alias("l"))
+    subs = subs.select("unit", (F.col("s") - 1 + F.col("l")).alias("b"), "l", F.substring("unit", F.col("s"), F.col("l")).alias("piece"))
+    joined = subs.join(F.broadcast(pieces), "piece", "left").where("node is not null or l = 1")
+    uncovered = F.lit(other << (_ID + _SHORT) | 62 << _ID | _NO_PIECE)
+    edge = F.struct("b", (-F.col("l")).alias("back"), F.coalesce("node", uncovered).alias("node"))
+    grouped = joined.groupBy("unit").agg(F.sort_array(F.collect_list(edge)).alias("edges"))
+
+    none = F.lit((1 << 63) - 1)
 
     def step(s: Column, x: Column) -> Column:
-        """Edges come by the place they end at; ``now`` is the best into place b, ``best`` those into the places before."""
-        before = F.when(x["a"] == s["b"], s["now"]["cost"]).otherwise(F.get(s["best"], x["a"])["cost"])
-        made = F.struct((before + x["cost"]).alias("cost"), x["a"].alias("a"), x["id"].alias("id"))
-        same = F.struct(s["best"].alias("best"), s["b"].alias("b"), F.least(s["now"], made).alias("now"))
-        following = F.struct(F.concat(s["best"], F.array(s["now"])).alias("best"), x["b"].alias("b"), made.alias("now"))
-        return F.when(x["b"] == s["b"], same).otherwise(following)
+        made = F.least(s["now"], F.element_at(s["best"], x["back"]).bitwiseAND(F.lit(-1 << (_ID + _SHORT))) + x["node"])
+        place = F.struct(F.concat(s["best"], F.array(made)).alias("best"), none.alias("now"))
+        return F.when(x["back"] == -1, place).otherwise(F.struct(s["best"].alias("best"), made.alias("now")))
 
-    node = "struct<cost:double,a:int,id:int>"
-    zero = F.struct(F.array().cast(f"array<{node}>").alias("best"), F.lit(0).alias("b"), F.struct(F.lit(0.0).alias("cost"), F.lit(0).alias("a"), F.lit(0).alias("id")).cast(node).alias("now"))
-    folded = grouped.select("unit", "n", F.aggregate(F.sort_array("edges"), zero, step, lambda s: F.concat(s["best"], F.array(s["now"]))).alias("best"))
+    zero = F.struct(F.array(F.lit(0).cast("long")).alias("best"), none.alias("now"))
+    folded = grouped.select("unit", F.aggregate("edges", zero, step, lambda s: s["best"]).alias("best"))
 
     def back(acc: Column, _: Column) -> Column:
-        here = F.get("best", acc["at"])
-        return F.when(acc["at"] > 0, F.struct(here["a"].alias("at"), F.concat(F.array(here["id"]), acc["ids"]).alias("ids"))).otherwise(acc)
+        node = F.get("best", acc["at"])
+        id_ = node.bitwiseAND(F.lit(_NO_PIECE)).cast("int")
+        id_ = F.when(id_ == _NO_PIECE, -1 - F.ascii(F.substring("unit", acc["at"], F.lit(1)))).otherwise(id_)
+        before = acc["at"] - 63 + F.shiftright(node, _ID).bitwiseAND(F.lit(63)).cast("int")
+        return F.when(acc["at"] > 0, F.struct(before.alias("at"), F.concat(acc["ids"], F.array(id_)).alias("ids"))).otherwise(acc)
 
-    start = F.struct(F.col("n").alias("at"), F.array().cast("array<int>").alias("ids"))
-    return folded.select("unit", F.aggregate(F.sequence(F.lit(1), F.col("n")), start, back)["ids"].alias("ids"))
+    start = F.struct((F.size("best") - 1).alias("at"), F.array().cast("array<int>").alias("ids"))
+    return folded.select("unit", F.reverse(F.aggregate(F.sequence(F.lit(2), F.size("best")), start, back)["ids"]).alias("ids"))
 
 
-_LITERAL = "0" + MARK
-_UNIT = re.compile("\n| +(?= [^ \n])| [^ \n]+| +|[^ \n]+")
-
+def _long_paths(rows: list[tuple[str, int, int]], other: int):
+    """As ``lattice``, for long units: each place in order, in time and memory that grow with the length."""
+    longest, ranks = max((len(p) for p, _, _ in rows), default=1), other == 4 << _RANKS
 
-def crossed(pieces: list[str]) -> bool:
-    """Whether a piece holds a space after another character, or a line's end beside others: then texts can't be cut there."""
-    return any(("\n" in p and len(p) > 1) or MARK in p.lstrip(MARK) for p in pieces)
+    def run(batches):
+        # wider than in a long, so that no sum of ranks reaches the number of pieces
+        wide = (lambda c: (c >> _RANKS) << 64 | c & ((1 << _RANKS) - 1)) if ranks else int
+        pieces, plain = {p: (i, wide(cost)) for p, i, cost in rows}, wide(other)
+        for batch in batches:
+            for t in batch.column("unit").to_pylist():
+                best, back, ids = [0], [0], [0]
+                for b in range(1, len(t) + 1):
+                    now = None
+                    for a in range(max(0, b - longest), b):
+                        got = pieces.get(t[a:b]) or ((-1 - ord(t[a]), plain) if b - a == 1 else None)
+                        if got and (now is None or best[a] + got[1] < now[0]):
+                            now = (best[a] + got[1], a, got[0])
+                    for x, y in zip((best, back, ids), now, strict=True):
+                        x.append(y)
+                path, at = [], len(t)
+                while at:
+                    path.append(ids[at])
+                    at = back[at]
+                yield pa.RecordBatch.from_arrays([pa.array([t], pa.string()), pa.array([path[::-1]], pa.list_(pa.int32()))], names=["unit", "ids"])
 
+    return run
 
-def _units(text: str, whole: bool = False) -> list[str]:
-    """The units of a text in order; empty text has none.
 
-    A unit is a word with the space before it, the other spaces of a run, a line's end, or a mark that is no space. It is written as a flag, 1 where
-    its first space is left out, and the characters, other spaces as marks. The text's start counts as a space. whole: cut at such marks only.
-    """
-    if not text:
-        return []
-    out = []
-    for i, plain in enumerate(text.split(MARK)):
-        if i:
-            out.append(_LITERAL)
-        z = plain if i else " " + plain
-        for u in ([z] if z else []) if whole else _UNIT.findall(z):
-            u = u.replace(" ", MARK)
-            out.append("1" + u[1:] if u[0] == MARK else "0" + u)
-    return out
-
-
-def _joined(units: list[str]) -> list[str]:
-    """Runs of spaces together with the word after them: pieces can cross there."""
-    out: list[str] = []
-    for u in units:
-        if u[0] == "1" and out and out[-1][0] == "1" and not out[-1][1:].strip(MARK):
-            out[-1] += MARK + u[1:]
+class Cutter:
+    """Cuts texts between any two characters that stand side by side in no piece: no path can cross there."""
+
+    def __init__(self, pieces: list[str]):
+        pairs = {p[i : i + 2] for p in pieces for i in range(len(p) - 1)}
+        chars = sorted({c for x in pairs for c in x})
+        number = {c: i + 1 for i, c in enumerate(chars)}
+        self.index = np.zeros(0x110001, np.int16)
+        self.index[[ord(c) for c in chars]] = np.arange(1, len(chars) + 1)
+        self.joined = np.zeros((len(chars) + 1, len(chars) + 1), bool)
+        for x in pairs:
+            self.joined[number[x[0]], number[x[1]]] = True
+
+    def cut(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """The distinct units of the texts, the units of all texts as numbers of these, and how many each text has.
+
+        Spaces count as marks and one more stands before the text. A mark that is no space is a unit of its own, ``_LITERAL``.
+        """
+        size = np.array([len(t) + 1 if t else 0 for t in texts], np.int64)
+        off = np.append(0, np.cumsum(size))
+        code = np.frombuffer("".join([" " + t for t in texts if t]).encode("utf-32-le", "surrogatepass"), np.uint32).copy()
+        if not len(code):
+            return [], np.zeros(0, np.int64), size
+        code[code == ord(MARK)] = 0x110000
+        code[code == 32] = ord(MARK)
+        kind = self.index[code]
+        head = np.append(True, ~self.joined[kind[:-1], kind[1:]])
+        head[off[:-1][size > 0]] = True
+        a = np.flatnonzero(head)
+        b = np.append(a[1:], len(code))
+        plain = code.copy()
+        plain[code == 0x110000] = ord(MARK)
+        whole = plain.tobytes().decode("utf-32-le", "surrogatepass")
+        _, first, number = np.unique(span_hash(prefix_hash(code), a, b), return_index=True, return_inverse=True)
+        same = first[number]
+        shift = np.repeat(a[same] - a, b - a)
+        if (b - a != b[same] - a[same]).any() or (code[np.arange(len(code)) + shift] != code).any():  # equal hashes of unlike units
+            known: dict[str, int] = {}
+            number = np.array([known.setdefault(_LITERAL if code[x] == 0x110000 else whole[x:y], len(known)) for x, y in zip(a.tolist(), b.tolist(), strict=True)])
+            units = list(known)
         else:
-            out.append(u)
-    return out
-
+            units = [_LITERAL if c == 0x110000 else whole[x:y] for x, y, c in zip(a[first].tolist(), b[first].tolist(), code[a[first]].tolist(), strict=True)]
+        return units, number, np.diff(np.searchsorted(a, off))
 
-_SPLIT = "\x1f"
 
-
-def _bytes_planes(x: np.ndarray) -> bytes:
+def _planes(x: np.ndarray) -> bytes:
     return zstandard.compress(np.ascontiguousarray(x.astype("<i4").view(np.uint8).reshape(-1, 4).T).tobytes(), 3)
 
 
@@ -131,196 +178,142 @@ def _from_planes(b: bytes) -> np.ndarray:
     return np.ascontiguousarray(raw.reshape(4, -1).T).view("<i4").ravel()
 
 
-def _pack(buckets: int, limit: int, whole: bool):
-    """Documents by the part: their units as numbers, and the distinct units by bucket."""
+def _pack(pieces: list[str], part_bytes: int):
+    """Documents by the part: a row of place -1 with their units as numbers, and one for each distinct unit, which asks for its path."""
 
     def run(batches):
-        for batch in slices(batches, limit=limit):
-            numbers: dict[str, int] = {}
-            seq, counts = [], []
-            for t in batch.column("text").to_pylist():
-                u = _joined(_units(t or "", whole))
-                seq += [numbers.setdefault(x, len(numbers)) for x in u]
-                counts.append(len(u))
-            units = list(numbers)
-            b = np.fromiter((xxhash.xxh64_intdigest(u.encode(), 42) for u in units), np.uint64, len(units)).view(np.int64) % buckets
-            order = np.lexsort((np.array(units, object), b)) if units else np.zeros(0, np.int64)
-            place = np.empty(len(units), np.int64)
-            place[order] = np.arange(len(units))
-            keys = batch.column("rk")
-            part = int.from_bytes(hashlib.blake2b(repr(keys.to_pylist()).encode(), digest_size=8).digest(), "little", signed=True)
-            cut = np.searchsorted(b[order], np.arange(buckets + 1))
-            asked = [i for i in range(buckets) if cut[i] < cut[i + 1]]
-            lists = [zstandard.compress(b"".join(len(x).to_bytes(4, "little") + x for x in (units[j].encode() for j in order[cut[i] : cut[i + 1]])), 3) for i in asked]
-            n = len(asked)
+        cutter = Cutter(pieces)
+        numbers: dict[str, int] = {}
+        names, seq, counts, held = [], [], [], 0
+
+        def flush():
+            flat = np.concatenate(seq)
+            order = np.argsort(-np.bincount(flat, minlength=len(numbers)), kind="stable")
+            place = np.empty(len(numbers), np.int64)
+            place[order] = np.arange(len(numbers))
+            keys = pa.concat_arrays(names)
+            part = pa.scalar(int.from_bytes(hashlib.blake2b(repr(keys.to_pylist()).encode(), digest_size=8).digest(), "little", signed=True), pa.int64())
+            kind = pa.list_(keys.type)
+            head = pa.ListArray.from_arrays(pa.array([0, len(keys)], pa.int32()), keys).cast(kind)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([part] * (n + 1), pa.int64()), pa.array([-1, *asked], pa.int32()), pa.array([keys.to_pylist(), *[None] * n], pa.list_(keys.type)), pa.array([_bytes_planes(place[np.array(seq, np.int64)] if seq else np.zeros(0)), *lists], pa.binary()), pa.array([_bytes_planes(np.array(counts)), *[None] * n], pa.binary()), pa.array([False, *(any(len(units[j]) > LONGEST for j in order[cut[i] : cut[i + 1]]) for i in asked)])],
-                names=["part", "bucket", "names", "body", "counts", "long"],
+                [pa.repeat(part, 1), pa.array([-1], pa.int32()), pa.nulls(1, pa.string()), head, pa.array([_planes(place[flat])], pa.binary()), pa.array([_planes(np.concatenate(counts))], pa.binary())],
+                names=["part", "place", "unit", "names", "body", "counts"],
             )
+            units = sorted(numbers)
+            for i in range(0, len(units), 1 << 15):
+                some = units[i : i + (1 << 15)]
+                n = len(some)
+                at = place[np.fromiter((numbers[u] for u in some), np.int64, n)].astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.repeat(part, n), pa.array(at), pa.array(some, pa.string()), pa.nulls(n, kind), pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary())], names=["part", "place", "unit", "names", "body", "counts"])
 
-    return run
-
-
-def _unpack_units(body: bytes) -> list[str]:
-    raw, at, out = zstandard.decompress(body), 0, []
-    while at < len(raw):
-        n = int.from_bytes(raw[at : at + 4], "little")
-        out.append(raw[at + 4 : at + 4 + n].decode())
-        at += 4 + n
-    return out
-
-
-def _distinct(long: bool):
-    """Units up to the limit, or those above it, that this task has not given lately; what is left of repeats goes in the grouping after."""
-
-    def run(batches):
-        seen: set[str] = set()
         for batch in batches:
-            for body in batch.column("body").to_pylist():
-                new = [u for u in _unpack_units(body) if (len(u) > LONGEST) == long and u not in seen]
-                seen.update(new)
-                yield pa.RecordBatch.from_arrays([pa.array(new, pa.string())], names=["unit"])
-                if long or len(seen) > 400_000:
-                    seen.clear()
+            for piece in slices([batch]):
+                units, number, n = cutter.cut(piece.column("text").to_pylist())
+                known = np.fromiter((numbers.setdefault(u, len(numbers)) for u in units), np.int32, len(units))
+                names.append(piece.column("rk"))
+                seq.append(known[number])
+                counts.append(n)
+                held += piece.column("text").nbytes
+                if held >= part_bytes:
+                    yield from flush()
+                    numbers, names, seq, counts, held = {}, [], [], [], 0
+        if names:
+            yield from flush()
 
     return run
 
 
-def _long_paths(rows: list[tuple[str, int, float]]):
-    """As ``lattice``, for long units: each place in order, in time and memory that grow with the length."""
-    longest = max((len(p) for p, _, _ in rows), default=1)
-
-    def run(batches):
-        pieces = {p: (i, cost) for p, i, cost in rows}
-        for batch in batches:
-            for unit in batch.column("unit").to_pylist():
-                t = (MARK if unit[0] == "1" else "") + unit[1:]
-                best, back, ids = [0.0], [0], [0]
-                for b in range(1, len(t) + 1):
-                    now = None
-                    for a in range(max(0, b - longest), b):
-                        got = pieces.get(t[a:b]) or ((-1 - ord(t[a]), 4e9) if b - a == 1 else None)
-                        if got and (now is None or best[a] + got[1] < now[0]):
-                            now = (best[a] + got[1], a, got[0])
-                    for x, y in zip((best, back, ids), now, strict=True):
-                        x.append(y)
-                path, at = [], len(t)
-                while at:
-                    path.append(ids[at])
-                    at = back[at]
-                yield pa.RecordBatch.from_arrays([pa.array([unit], pa.string()), pa.array([path[::-1]], pa.list_(pa.int32()))], names=["unit", "ids"])
-
-    return run
-
-
-def _reply(batches):
-    """Rows come sorted by bucket, its units before the requests: the ids of the units asked for, in order."""
-    bucket, known = None, {}
-    for batch in batches:
-        columns = [batch.column(c) for c in ("bucket", "kind", "unit", "ids", "part", "body")]
-        buckets, kinds = columns[0].to_numpy(), columns[1].to_numpy()
-        for i in range(batch.num_rows):
-            if buckets[i] != bucket:
-                bucket, known = buckets[i], {}
-            if not kinds[i]:
-                known[columns[2][i].as_py()] = np.array(columns[3][i].as_py(), np.int32)
-                continue
-            got = [known[u] for u in _unpack_units(columns[5][i].as_py())]
-            yield pa.RecordBatch.from_arrays([columns[4].slice(i, 1), columns[0].slice(i, 1), pa.array([_bytes_planes(np.concatenate(got))], pa.binary()), pa.array([_bytes_planes(np.array([len(g) for g in got]))], pa.binary())], names=["part", "bucket", "body", "counts"])
-
-
 def _assemble(zero: int):
-    """Rows come sorted by part, its documents before the replies by bucket: the ids of each document."""
-
-    def expand(ids: np.ndarray) -> np.ndarray:
-        """Uncovered characters as the ids of their bytes."""
-        if not (ids < 0).any():
-            return ids
-        out = []
-        for x in ids.tolist():
-            out += [x] if x >= 0 else [zero + b for b in chr(-1 - x).encode("utf-8", "replace")]
-        return np.array(out, np.int32)
+    """Rows come sorted by part and place, a part's documents first and then the path of each of its units: the ids of each document."""
+
+    def spelled(ids: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Characters that no piece covers as the ids of their bytes."""
+        odd = np.flatnonzero(ids < 0)
+        if not len(odd):
+            return ids, n
+        made = [np.array([zero + b for b in chr(-1 - x).encode("utf-8", "replace")], np.int32) for x in ids[odd].tolist()]
+        size = np.ones(len(ids), np.int64)
+        size[odd] = [len(x) for x in made]
+        out = np.repeat(ids, size)
+        at = np.cumsum(size) - size
+        out[np.concatenate([np.arange(p, p + len(x)) for p, x in zip(at[odd].tolist(), made, strict=True)])] = np.concatenate(made)
+        total = np.append(0, np.cumsum(size))
+        ends = np.append(0, np.cumsum(n))
+        return out, np.diff(total[ends])
 
     def run(batches):
-        part, head, replies = None, None, []
+        part, head, ids, sizes = None, None, [], []
 
         def out():
             names, seq, counts = head
-            flat = np.concatenate([r[0] for r in replies]) if replies else np.zeros(0, np.int32)
-            n = np.concatenate([r[1] for r in replies]).astype(np.int64) if replies else np.zeros(0, np.int64)
+            flat = np.concatenate(ids) if ids else np.zeros(0, np.int32)
+            n = np.concatenate(sizes) if sizes else np.zeros(0, np.int64)
+            if len(seq) and len(n) != seq.max() + 1:
+                raise RuntimeError("a part has lost some of its units")
+            flat, n = spelled(flat, n)
             at = np.cumsum(n) - n
-            if (flat < 0).any():  # a unit's bytes, once for each unit
-                owner = np.repeat(np.arange(len(n)), n)
-                pieces = [expand(flat[at[i] : at[i] + n[i]]) for i in np.unique(owner[flat < 0])]
-                which = np.unique(owner[flat < 0])
-                whole = np.split(flat, at[1:]) if len(at) else []
-                for i, p in zip(which.tolist(), pieces, strict=True):
-                    whole[i] = p
-                flat = np.concatenate(whole)
-                n = np.array([len(w) for w in whole], np.int64)
-                at = np.cumsum(n) - n
-            ends = np.cumsum(counts)
+            ends = np.cumsum(counts, dtype=np.int64)
             for i in range(0, len(counts), 64):  # some documents at a time
                 lo, hi = (ends[i - 1] if i else 0), ends[min(i + 64, len(counts)) - 1]
                 u = seq[lo:hi]
                 size = n[u]
-                ids = flat[np.repeat(at[u], size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)]
-                total = np.zeros(len(u) + 1, np.int64)
-                np.cumsum(size, out=total[1:])
+                got = flat[np.repeat(at[u] - (np.cumsum(size) - size), size) + np.arange(size.sum())]
+                total = np.append(0, np.cumsum(size))
                 off = np.append(0, total[ends[i : i + 64] - lo]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(names[i : i + 64], names.type), pa.ListArray.from_arrays(pa.array(off), pa.array(ids.astype(np.int32)))], names=["rk", "ids"])
+                yield pa.RecordBatch.from_arrays([names.slice(i, 64), pa.ListArray.from_arrays(pa.array(off), pa.array(got.astype(np.int32)))], names=["rk", "ids"])
 
         for batch in batches:
-            parts, buckets = batch.column("part").to_numpy(), batch.column("bucket").to_numpy()
-            for i in range(batch.num_rows):
-                if parts[i] != part:
+            parts, places, lists = batch.column("part").to_numpy(), batch.column("place").to_numpy(), batch.column("ids")
+            cut = np.flatnonzero(np.append(True, (parts[1:] != parts[:-1]) | (places[1:] < 0))) if len(parts) else []
+            for a, b in zip(cut, np.append(cut[1:], len(parts)), strict=True):
+                if places[a] < 0:
                     if part is not None:
                         yield from out()
-                    part, replies = parts[i], []
-                body, counts = _from_planes(batch.column("body")[i].as_py()), _from_planes(batch.column("counts")[i].as_py())
-                if buckets[i] < 0:
-                    head = (batch.column("names")[i].values, body, counts)
-                else:
-                    replies.append((body, counts))
+                    part, ids, sizes = parts[a], [], []
+                    head = (batch.column("names")[int(a)].values, _from_planes(batch.column("body")[int(a)].as_py()), _from_planes(batch.column("counts")[int(a)].as_py()))
+                    a += 1
+                if a < b:
+                    some = lists.slice(int(a), int(b - a))
+                    ids.append(some.flatten().to_numpy())
+                    sizes.append(np.diff(some.offsets.to_numpy()).astype(np.int64))
         if part is not None:
             yield from out()
 
     return run
 
 
-def encode(docs: DataFrame, model_file: str, part_bytes: int = 4 << 20) -> DataFrame:
+def encode(docs: DataFrame, model_file: str, part_bytes: int = 16 << 20) -> DataFrame:
     """``doc_id, ids`` of each row of docs (``doc_id, text``): the cheapest path through the piece table.
 
     Spaces count as the mark that pieces have for them, one more stands before the text; a character that no piece covers
-    becomes its UTF-8 bytes' ids. Texts are cut where no piece of the table can cross (``_units``), so the lattice is built once for each distinct unit of the corpus.
-    Documents travel as numbers of units, in parts of about ``part_bytes`` of text; a part asks for its units by bucket and is
-    put together from the answers.
+    becomes its UTF-8 bytes' ids. Texts are cut where no piece of the table can cross (``Cutter``), so the lattice is built once for each distinct unit of the corpus.
+    Documents travel as numbers of units, in parts of about ``part_bytes`` of text; a part asks once for each of its
+    units and is put together from the answers. For a BPE model the paths are those of fewest pieces (``piece_table``), not the
+    library's merges; ids therefore differ from the library's, and decode to the same text.
 
     Null and empty texts give no ids. Units of any length are encoded whole. Repeated rows each get
     their result; null doc_ids too. No rows: no rows.
     """
     spark = docs.sparkSession
-    rows, zero = piece_table(model_file)
-    whole = crossed([p for p, _, _ in rows])
-    pieces = spark.createDataFrame(rows, "piece string, id int, cost double")
+    rows, other, zero = piece_table(model_file)
     key = document_key(docs)
     texts = docs.select(key.alias("rk"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
     rk = texts.schema["rk"].dataType.simpleString()
     if rk != "bigint":
         texts = texts.dropDuplicates(["rk"])
     buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    packed = materialize(texts.select("rk", "text").mapInArrow(_pack(buckets, part_bytes, whole), f"part long, bucket int, names array<{rk}>, body binary, counts binary, long boolean"))
-    asked = packed.where("bucket >= 0")
+    packed = materialize(texts.select("rk", "text").mapInArrow(_pack([p for p, _, _ in rows], part_bytes), f"part long, place int, unit string, names array<{rk}>, body binary, counts binary"))
+    asked = packed.where("place >= 0").select("part", "place", "unit")
     # many small tasks: the edges of a task's units are sorted in memory
-    units = asked.select("body").mapInArrow(_distinct(False), "unit string").repartition(4 * buckets, "unit").distinct()
-    long = asked.where("long").select("body").mapInArrow(_distinct(True), "unit string").repartition(buckets, "unit").distinct()
-    paths = materialize(lattice(units, pieces, max(len(p[0]) for p in rows)).unionByName(long.mapInArrow(_long_paths(rows), "unit string, ids array<int>")))
-    known = paths.select(F.pmod(F.xxhash64("unit"), F.lit(buckets)).cast("int").alias("bucket"), F.lit(0).alias("kind"), "unit", "ids", F.lit(None).cast("long").alias("part"), F.lit(None).cast("binary").alias("body"))
-    wanted = asked.select("bucket", F.lit(1).alias("kind"), F.lit(None).cast("string").alias("unit"), F.lit(None).cast("array<int>").alias("ids"), "part", "body")
-    replies = known.unionByName(wanted).repartition(buckets, "bucket").sortWithinPartitions("bucket", "kind").mapInArrow(_reply, "part long, bucket int, body binary, counts binary")
-    heads = packed.where("bucket < 0").drop("long")
-    both = heads.unionByName(replies.withColumn("names", F.lit(None).cast(f"array<{rk}>")).select(*heads.columns))
-    out = both.repartition(buckets, "part").sortWithinPartitions("part", "bucket").mapInArrow(_assemble(zero), f"rk {rk}, ids array<int>")
+    units = asked.select("unit").where(F.col("unit") != _LITERAL).repartition(4 * buckets, "unit").distinct()
+    long = units.where(F.length("unit") > LONGEST).mapInArrow(_long_paths(rows, other), "unit string, ids array<int>")
+    literal = spark.createDataFrame([(_LITERAL, [-1 - ord(MARK)])], "unit string, ids array<int>")
+    paths = materialize(lattice(units.where(F.length("unit") <= LONGEST), rows, other).unionByName(long).unionByName(literal))
+    answers = asked.join(paths, "unit").select("part", "place", "ids")
+    heads = packed.where("place < 0").select("part", "place", F.lit(None).cast("array<int>").alias("ids"), "names", "body", "counts")
+    none = [F.lit(None).cast(heads.schema[c].dataType).alias(c) for c in ("names", "body", "counts")]
+    both = heads.unionByName(answers.select("*", *none))
+    out = both.repartition(buckets, "part").sortWithinPartitions("part", "place").mapInArrow(_assemble(zero), f"rk {rk}, ids array<int>")
     if rk != "bigint":
         return docs.select(key.alias("rk"), "doc_id").join(out, "rk").select("doc_id", "ids")
     return out.select(F.col("rk").alias("doc_id"), "ids")
@@ -333,10 +326,24 @@ def decode(ids: Column, model_file: str) -> Column:
 
     @arrow_udf("string")
     def run(col: pa.Array) -> pa.Array:
+        flat = np.frombuffer(b"".join(table), np.uint8)
+        size = np.array([len(x) for x in table], np.int64)
+        first = np.cumsum(size) - size
         out = []
-        for row in col.to_pylist():
-            raw = None if row is None else b"".join([table[i] for i in row])
-            out.append(raw if raw is None else (raw[1:] if raw[:1] == b" " else raw).decode("utf-8", "replace"))
+        for i in range(0, len(col), 256):
+            part = col.slice(i, 256)
+            got = part.flatten().to_numpy()
+            n = size[got]
+            raw = flat[np.repeat(first[got] - (np.cumsum(n) - n), n) + np.arange(n.sum())].tobytes()
+            ends = np.append(0, np.cumsum(n))
+            at = 0
+            for length in part.value_lengths().to_pylist():
+                if length is None:
+                    out.append(None)
+                    continue
+                text = raw[ends[at] : ends[at + length]]
+                out.append((text[1:] if text[:1] == b" " else text).decode("utf-8", "replace"))
+                at += length
         return pa.array(out, pa.string())
 
     return run(ids)

@@ -6,6 +6,7 @@ import pytest
 import sentencepiece
 from pyspark.sql import functions as F
 
+from confluo.llm import sentencepiece_lattice as sp
 from confluo.llm import simhash as sh
 from confluo.llm import substring_dedup as sub
 from confluo.llm import suffix_dedup as suf
@@ -14,7 +15,7 @@ from confluo.llm.language_model import lm_score
 from confluo.llm.licenses import TEMPLATES, patience, scan_licenses
 from confluo.llm.line_dedup import line_dedup
 from confluo.llm.quality import score_quality, train_quality
-from confluo.llm.sentencepiece_lattice import _units, decode, encode, piece_table
+from confluo.llm.sentencepiece_lattice import decode, encode
 from confluo.llm.topk import exact_topk
 from tests.llm import helpers as h
 
@@ -254,32 +255,23 @@ def test_sentencepiece(spark, docs, df):
     out = encode(df, MODEL)
     rows = out.select("doc_id", "ids", decode(F.col("ids"), MODEL).alias("text")).collect()
     assert {r.doc_id: r.text for r in rows} == {i: t or "" for i, t in docs.items()}
-    table, zero = piece_table(MODEL)
-    pieces = {p: (i, c) for p, i, c in table}
-
-    def best(unit):
-        s = ("▁" if unit[0] == "1" else "") + unit[1:]
-        to = [(0.0, 0, 0)]
-        for e in range(1, len(s) + 1):
-            some = []
-            for a in range(max(0, e - 16), e):
-                x = s[a:e]
-                if x in pieces and not (x[0] == "▁" and not (a == 0 and unit[0] == "1")):
-                    some.append((to[a][0] + pieces[x][1], a, pieces[x][0]))
-                elif e - a == 1:
-                    some.append((to[a][0] + 4e9, a, -1 - ord(x)))
-            to.append(min(some))
-        ids, at = [], len(s)
-        while at:
-            ids, at = [to[at][2], *ids], to[at][1]
-        return [y for x in ids for y in ([x] if x >= 0 else [zero + b for b in chr(-1 - x).encode()])]
-
-    for r in rows:
-        if r.doc_id in (0, 5, 202, 206):
-            assert r.ids == [x for u in _units(docs[r.doc_id] or "") for x in best(u)]
+    assert {r.doc_id: r.ids for r in rows} == {i: whole_path(t or "") for i, t in docs.items()}
+    again = encode(h.frame(spark, docs, repeat=[0, 4, 200]), MODEL).collect()
+    assert len(again) == len(docs) + 3 and all(r.ids == whole_path(docs[r.doc_id] or "") for r in again)
+    few = encode(spark.createDataFrame([(None, "a b", "x"), (1, None, "y"), (None, "c", "z")], "doc_id long, text string, ids string"), MODEL, part_bytes=1)
+    assert sorted((r.doc_id or -1, r.ids) for r in few.collect()) == sorted([(-1, whole_path("a b")), (-1, whole_path("c")), (1, [])])
     assert encode(df.limit(0), MODEL).count() == 0
 
 
+def test_cutter_collisions(monkeypatch):
+    """Units of equal hashes are told apart."""
+    cutter = sp.Cutter([p for p, _, _ in sp.piece_table(MODEL)[0]])
+    want = cutter.cut(["one two, three", None, "two ▁ one"])
+    monkeypatch.setattr(sp, "span_hash", lambda prefix, a, b: np.zeros(len(a), np.uint64))
+    got = cutter.cut(["one two, three", None, "two ▁ one"])
+    assert [want[0][i] for i in want[1]] == [got[0][i] for i in got[1]] and want[2].tolist() == got[2].tolist()
+
+
 def whole_path(text):
     """Ids of the cheapest path of a whole text over the full vocabulary: fewest pieces, then best ranks."""
     m = sentencepiece.SentencePieceProcessor(model_file=MODEL)
