@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; where none is set (tests), a local one that is set once."""
+    """The cluster's checkpoint folder. Where none is set, a local one that is set once, if all of Spark runs in this machine's one process."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError(f"spark.checkpoint.dir must name a folder that the driver and all executors of {master} share")
         path = f"file://{tempfile.mkdtemp(prefix='confluo-')}"
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
@@ -22,17 +26,20 @@ def materialize(df: DataFrame) -> DataFrame:
     """Write a frame to the shared folder and read it back.
 
     Cuts the lineage, so that a lost executor costs a re-read and not a re-run, and forgets the partitioning, so
-    that adaptive execution can split hot keys of a later join. The collection afterwards lets Spark delete the
-    shuffle files of what has just been written.
+    that adaptive execution can split hot keys of a later join. Shuffle files of what was written are deleted at once, the table
+    itself by ``release`` or at the application's end.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/confluo/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    schema = df.schema
-    del df
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-    out = spark.read.schema(schema).parquet(path)
+    before = spark.conf.get(_CLEANUP)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
+    folder, system = _folder(spark, path)
+    system.deleteOnExit(folder)
+    out = spark.read.schema(df.schema).parquet(path)
     out._confluo_path = path
     return out
 
@@ -42,6 +49,12 @@ def release(*frames: DataFrame) -> None:
     for df in frames:
         path = getattr(df, "_confluo_path", None)
         if path:
-            jvm, conf = df.sparkSession.sparkContext._jvm, df.sparkSession.sparkContext._jsc.hadoopConfiguration()
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(conf).delete(p, True)
+            folder, system = _folder(df.sparkSession, path)
+            system.delete(folder, True)
+
+
+def _folder(spark: SparkSession, path: str):
+    """The Hadoop path and its file system."""
+    context = spark.sparkContext
+    folder = context._jvm.org.apache.hadoop.fs.Path(path)
+    return folder, folder.getFileSystem(context._jsc.hadoopConfiguration())
