@@ -223,8 +223,41 @@ def _pack(pieces: list[str], part_bytes: int):
     return run
 
 
+def _gather():
+    """Rows come sorted by part: the places, sizes and ids of the answers to a part, in columns of bytes."""
+
+    def run(batches):
+        part, held = None, []
+
+        def out():
+            place, size, ids = (np.concatenate(x) for x in zip(*held, strict=True))
+            order = np.argsort(place, kind="stable")
+            n = size[order]
+            at = (np.cumsum(size) - size)[order]
+            ids = ids[np.repeat(at - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+            planes = [pa.array([_planes(x)], pa.binary()) for x in (np.diff(place[order], prepend=0), n, ids)]
+            return pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), *planes], names=["part", "places", "sizes", "ids"])
+
+        for batch in batches:
+            parts, places, ids = batch.column("part").to_numpy(), batch.column("place").to_numpy(), batch.column("ids")
+            if ids.null_count:
+                raise RuntimeError("a unit has no path")
+            cut = np.flatnonzero(np.append(True, parts[1:] != parts[:-1])) if len(parts) else []
+            for a, b in zip(cut, np.append(cut[1:], len(parts)), strict=True):
+                if parts[a] != part:
+                    if held:
+                        yield out()
+                    part, held = int(parts[a]), []
+                some = ids.slice(int(a), int(b - a))
+                held.append((places[a:b], np.diff(some.offsets.to_numpy()).astype(np.int64), some.flatten().to_numpy()))
+        if held:
+            yield out()
+
+    return run
+
+
 def _assemble(zero: int):
-    """Rows come sorted by part and place, a part's documents first and then the path of each of its units: the ids of each document."""
+    """Rows come sorted by part, its documents first and then the answers: the ids of each document."""
 
     def spelled(ids: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Characters that no piece covers as the ids of their bytes."""
@@ -242,16 +275,18 @@ def _assemble(zero: int):
         return out, np.diff(total[ends])
 
     def run(batches):
-        part, head, ids, sizes = None, None, [], []
+        part, head, replies = None, None, []
 
         def out():
             names, seq, counts = head
-            flat = np.concatenate(ids) if ids else np.zeros(0, np.int32)
-            n = np.concatenate(sizes) if sizes else np.zeros(0, np.int64)
-            if len(seq) and len(n) != seq.max() + 1:
+            units = int(seq.max()) + 1 if len(seq) else 0
+            n, at, base = np.full(units, -1, np.int64), np.zeros(units, np.int64), 0
+            for places, sizes, ids in replies:
+                n[places], at[places] = sizes, np.cumsum(sizes) - sizes + base
+                base += len(ids)
+            if (n < 0).any():
                 raise RuntimeError("a part has lost some of its units")
-            flat, n = spelled(flat, n)
-            at = np.cumsum(n) - n
+            flat = np.concatenate([r[2] for r in replies]) if replies else np.zeros(0, np.int32)
             ends = np.cumsum(counts, dtype=np.int64)
             for i in range(0, len(counts), 64):  # some documents at a time
                 lo, hi = (ends[i - 1] if i else 0), ends[min(i + 64, len(counts)) - 1]
@@ -263,19 +298,16 @@ def _assemble(zero: int):
                 yield pa.RecordBatch.from_arrays([names.slice(i, 64), pa.ListArray.from_arrays(pa.array(off), pa.array(got.astype(np.int32)))], names=["rk", "ids"])
 
         for batch in batches:
-            parts, places, lists = batch.column("part").to_numpy(), batch.column("place").to_numpy(), batch.column("ids")
-            cut = np.flatnonzero(np.append(True, (parts[1:] != parts[:-1]) | (places[1:] < 0))) if len(parts) else []
-            for a, b in zip(cut, np.append(cut[1:], len(parts)), strict=True):
-                if places[a] < 0:
+            for i, p in enumerate(batch.column("part").to_pylist()):
+                body = [None if batch.column(c)[i].as_py() is None else _from_planes(batch.column(c)[i].as_py()) for c in ("places", "sizes", "ids")]
+                names = batch.column("names")[i]
+                if names.is_valid:
                     if part is not None:
                         yield from out()
-                    part, ids, sizes = parts[a], [], []
-                    head = (batch.column("names")[int(a)].values, _from_planes(batch.column("body")[int(a)].as_py()), _from_planes(batch.column("counts")[int(a)].as_py()))
-                    a += 1
-                if a < b:
-                    some = lists.slice(int(a), int(b - a))
-                    ids.append(some.flatten().to_numpy())
-                    sizes.append(np.diff(some.offsets.to_numpy()).astype(np.int64))
+                    part, head, replies = p, (names.values, body[2], body[1]), []
+                else:
+                    ids, sizes = spelled(body[2], body[1].astype(np.int64))
+                    replies.append((np.cumsum(body[0]), sizes, ids))
         if part is not None:
             yield from out()
 
@@ -303,17 +335,17 @@ def encode(docs: DataFrame, model_file: str, part_bytes: int = 16 << 20) -> Data
         texts = texts.dropDuplicates(["rk"])
     buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     packed = materialize(texts.select("rk", "text").mapInArrow(_pack([p for p, _, _ in rows], part_bytes), f"part long, place int, unit string, names array<{rk}>, body binary, counts binary"))
-    asked = packed.where("place >= 0").select("part", "place", "unit")
-    # many small tasks: the edges of a task's units are sorted in memory
-    units = asked.select("unit").where(F.col("unit") != _LITERAL).repartition(4 * buckets, "unit").distinct()
-    long = units.where(F.length("unit") > LONGEST).mapInArrow(_long_paths(rows, other), "unit string, ids array<int>")
-    literal = spark.createDataFrame([(_LITERAL, [-1 - ord(MARK)])], "unit string, ids array<int>")
-    paths = materialize(lattice(units.where(F.length("unit") <= LONGEST), rows, other).unionByName(long).unionByName(literal))
-    answers = asked.join(paths, "unit").select("part", "place", "ids")
-    heads = packed.where("place < 0").select("part", "place", F.lit(None).cast("array<int>").alias("ids"), "names", "body", "counts")
-    none = [F.lit(None).cast(heads.schema[c].dataType).alias(c) for c in ("names", "body", "counts")]
-    both = heads.unionByName(answers.select("*", *none))
-    out = both.repartition(buckets, "part").sortWithinPartitions("part", "place").mapInArrow(_assemble(zero), f"rk {rk}, ids array<int>")
+    # one exchange by unit serves the lattice and the answers: all three branches read the same columns; many small tasks, as a task's edges are sorted in memory
+    asked = packed.where("place >= 0 and unit is not null").select("part", "place", "unit").repartition(4 * buckets, "unit")
+    units = asked.groupBy("unit").agg(F.max("part").alias("part"), F.max("place").alias("place"), F.max(F.when(F.col("unit") == _LITERAL, 0).otherwise(F.length("unit"))).alias("n")).where("part is not null and place >= 0")
+    short = lattice(units.where(F.col("n").between(1, LONGEST)).select("unit"), rows, other)
+    long = units.where(F.col("n") > LONGEST).select("unit").mapInArrow(_long_paths(rows, other), "unit string, ids array<int>").withColumnRenamed("ids", "long_ids")
+    answers = asked.join(short.hint("shuffle_hash"), "unit", "left").join(long.hint("shuffle_hash"), "unit", "left")
+    ids = F.coalesce("ids", "long_ids", F.when(F.col("unit") == _LITERAL, F.array(F.lit(-1 - ord(MARK)))))
+    replies = materialize(answers.select("part", "place", ids.alias("ids")).sortWithinPartitions("part").mapInArrow(_gather(), "part long, places binary, sizes binary, ids binary"))
+    heads = packed.where("place < 0").select("part", F.lit(None).cast("binary").alias("places"), F.col("counts").alias("sizes"), F.col("body").alias("ids"), "names")
+    both = heads.unionByName(replies.withColumn("names", F.lit(None).cast(f"array<{rk}>")))
+    out = both.repartition(buckets, "part").sortWithinPartitions("part", F.col("names").isNull()).mapInArrow(_assemble(zero), f"rk {rk}, ids array<int>")
     if rk != "bigint":
         return docs.select(key.alias("rk"), "doc_id").join(out, "rk").select("doc_id", "ids")
     return out.select(F.col("rk").alias("doc_id"), "ids")
