@@ -113,12 +113,13 @@ def _segments(unit: str, size: int, k: int):
 def recurring_segments(rows: DataFrame, unit: str, size: int, k: int) -> DataFrame:
     """``home, rk, start, content, runs``: the text of windows that may recur; rows: ``rk, text``, one for each document.
 
-    runs: flat pairs, the windows' starts relative to the segment. Written to the shared folder.
+    runs, for words only: flat pairs, the windows' starts relative to the segment. Written to the shared folder.
     """
     rk = rows.schema["rk"].dataType.simpleString()
     anchors = rows.where("text is not null").mapInArrow(_anchors(unit, size, k), f"rk {rk}, at int, anchor long")
     often = materialize(anchors.groupBy("anchor").agg(F.count("*").alias("n"), F.min("rk").alias("low")).where("n > 1").select("anchor", F.hash("low").alias("home")))
     hits = anchors.join(often.hint("shuffle_hash"), "anchor").groupBy("rk").agg(F.collect_list(F.struct("at", "home")).alias("hits"))
-    out = materialize(rows.join(hits, "rk").mapInArrow(_segments(unit, size, k), f"home int, rk {rk}, start int, content binary, runs array<int>"))
+    out = rows.join(hits, "rk").mapInArrow(_segments(unit, size, k), f"home int, rk {rk}, start int, content binary, runs array<int>")
+    out = materialize(out.drop("runs") if unit == "bytes" else out)
     release(often)
     return out

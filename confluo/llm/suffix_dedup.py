@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from confluo.llm._base import document_key, longs, prefix_hash, rolling_hash, span_hash, union_length
+from confluo.llm._base import document_key, longs, prefix_hash, span_hash, union_length
 from confluo.llm._repeats import recurring_segments
 from confluo.llm.line_dedup import _with_result
 from confluo.storage import materialize, release
@@ -40,57 +40,151 @@ def suffix_array(symbols: np.ndarray) -> np.ndarray:
 
 
 class RunLengthIndex:
-    """A run-compressed Burrows-Wheeler transform with the suffixes sampled at the ends of its runs.
+    """A run-compressed Burrows-Wheeler transform with the suffixes sampled at both ends of its runs.
 
-    ``heads`` and ``chars``: where each run begins and its symbol. ``sample`` and ``above``: for the first suffix of each run, in
-    text order, its place and the place of the suffix before it, the last of the run above. The sampled ends give
-    that neighbour of any place p by its nearest sample to the left: above + (p - sample).
+    For each run: ``heads``, the row where it begins; ``chars``, its symbol; ``base``, the row that its first step to the left leads to; ``first`` and ``last``, the
+    places of the suffixes at its ends. Symbols are kept as well, as matches are decided by them.
     """
 
     def __init__(self, symbols: np.ndarray):
-        self.prefix = prefix_hash(symbols)
+        self.text = symbols
         sa = suffix_array(symbols)
         bwt = symbols[sa - 1]
         self.heads = np.flatnonzero(np.append(True, bwt[1:] != bwt[:-1]))
+        ends = np.append(self.heads[1:], len(bwt)) - 1
         self.chars = bwt[self.heads]
-        at = self.heads[1:]
-        order = np.argsort(sa[at])
-        self.sample, self.above = sa[at][order], sa[at - 1][order]
-        self.n = len(symbols)
-
-    def matching_statistics(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Place, length and other place of the longest match at each sample.
-
-        Between samples the match at p + 1 is that at p, one shorter, with the same shift, so these are the statistics of all places.
+        self.first, self.last = sa[self.heads], sa[ends]
+        runs = len(self.heads)
+        order = np.argsort(self.chars, kind="stable")
+        size = ends - self.heads + 1
+        self.base = np.empty(runs, np.int64)
+        self.base[order] = np.cumsum(size[order]) - size[order]
+        self.keys = self.chars[order] * runs + order
+
+    def repeats(self, least: int) -> tuple[np.ndarray, np.ndarray]:
+        """Starts and ends of the strings of ``least`` symbols or more that also start elsewhere in the indexed text.
+
+        The longest match of the first suffix of a run with the suffix above it, the last of the run before, is taken at each such sample. Between
+        samples, in text order, the match at p + 1 is that at p, one shorter, so these are the matching statistics of all places.
         """
-        low = np.zeros(len(self.sample), np.int64)
-        high = self.n - np.maximum(self.sample, self.above)
+        at, above = self.first[1:], self.last[:-1]
+        prefix = prefix_hash(self.text)
+        high = len(self.text) - np.maximum(at, above)
+        fits = high >= least
+        at, above, high = at[fits], above[fits], high[fits]
+        # hashes rule out: most pairs differ early
+        near = span_hash(prefix, at, at + least) == span_hash(prefix, above, above + least)
+        at, above, high = at[near], above[near], high[near]
+        low = np.full(len(at), least, np.int64)
         while (open_ := low < high).any():
             i = np.flatnonzero(open_)
             mid = (low[i] + high[i] + 1) // 2
-            a, b = self.sample[i], self.above[i]
-            same = span_hash(self.prefix, a, a + mid) == span_hash(self.prefix, b, b + mid)
+            same = span_hash(prefix, at[i], at[i] + mid) == span_hash(prefix, above[i], above[i] + mid)
             low[i] = np.where(same, mid, low[i])
             high[i] = np.where(same, high[i], mid - 1)
-        return self.sample, low, self.above
-
-
-def long_matches(contents: list[bytes], groups: list[int], least: int) -> list[list[int]]:
-    """For each text, the spans (flat pairs) that lie in strings of ``least`` bytes with another place among the texts of its group."""
+        # symbols confirm: equal hashes of unlike strings make a length too large, never too small
+        for i, (p, q, n) in enumerate(zip(at.tolist(), above.tolist(), low.tolist(), strict=True)):
+            unlike = self.text[p : p + n] != self.text[q : q + n]
+            if unlike.any():
+                low[i] = int(np.argmax(unlike))
+        long = low >= least
+        at, above, low = at[long], above[long], low[long]
+        return union_length(np.concatenate([at, above]), np.concatenate([at + low, above + low]))
+
+    def _common(self, p: np.ndarray, q: np.ndarray, most: int) -> np.ndarray:
+        """How many symbols from p and from q are equal, up to ``most``."""
+        n = np.zeros(len(p), np.int64)
+        live = np.arange(len(p))
+        edge = len(self.text) - 1  # a symbol that no other place has
+        step = np.arange(16)
+        while len(live):
+            x, y = p[live] + n[live], q[live] + n[live]
+            same = self.text[np.minimum(x[:, None] + step, edge)] == self.text[np.minimum(y[:, None] + step, edge)]
+            same &= (np.maximum(x, y)[:, None] + step) <= edge
+            whole = same.all(axis=1)
+            n[live] += np.where(whole, 16, np.argmin(same, axis=1))
+            live = live[whole & (n[live] < most)]
+        return np.minimum(n, most)
+
+    def stream(self, texts: list[bytes], least: int, lane: int = 4096) -> list[list[int]]:
+        """For each text, the spans (flat pairs) covered by strings of ``least`` bytes that the indexed text holds.
+
+        Matching statistics, from right to left, of many stretches side by side: where the run of the current row has the next byte, the match grows by it; else
+        it goes on at the end of the nearest run above or below that has it, whichever suffix agrees longer with the
+        current one. Stretches overlap by ``least`` - 1 bytes, and lengths count up to ``least`` at least.
+        """
+        flat = np.frombuffer(b"".join(texts), np.uint8).astype(np.int64)
+        size = np.array([len(t) for t in texts], np.int64)
+        off = np.cumsum(size) - size
+        cuts = [np.arange(0, max(n - least + 1, 0), lane) for n in size.tolist()]
+        owner = np.repeat(np.arange(len(texts)), [len(c) for c in cuts])
+        begin = np.concatenate(cuts).astype(np.int64) if cuts else np.zeros(0, np.int64)
+        span = np.minimum(size[owner] - begin, lane + least - 1)
+        order = np.argsort(-span, kind="stable")
+        owner, begin, span = owner[order], begin[order], span[order]
+        end = off[owner] + begin + span - 1
+        live = np.searchsorted(-span, -np.arange(int(span[0]) if len(span) else 0), "left")  # how many stretches are longer than t
+        row, place, length = (np.zeros(len(span), np.int64) for _ in range(3))
+        place[:] = self.first[0]
+        runs, found = len(self.heads), []
+        for t, n in enumerate(live.tolist()):
+            c, q = flat[end[:n] - t], row[:n]
+            j = np.searchsorted(self.heads, q, "right") - 1
+            grows = self.chars[j] == c
+            row_, place_, length_ = self.base[j] + q - self.heads[j], place[:n] - 1, length[:n] + 1
+            bad = np.flatnonzero(~grows)
+            if len(bad):
+                key = c[bad] * runs
+                k = np.searchsorted(self.keys, key + j[bad])
+                above, below = self.keys[k - 1] - key, self.keys[np.minimum(k, runs - 1)] - key
+                none = np.full(len(bad), -1, np.int64)
+                lcp = []
+                for run, at in ((above, self.last), (below, self.first)):
+                    ok = (run >= 0) & (run < runs)
+                    got = none.copy()
+                    got[ok] = self._common(place[bad[ok]], at[run[ok]], least)
+                    lcp.append(got)
+                up = lcp[0] >= lcp[1]
+                run = np.where(up, above, below)
+                lost = np.maximum(*lcp) < 0
+                run[lost] = 0
+                to = self.base[run] + np.where(up, np.append(self.heads[1:], len(self.text))[run] - 1 - self.heads[run], 0)
+                row_[bad] = np.where(lost, 0, to)
+                place_[bad] = np.where(lost, self.first[0], np.where(up, self.last[run], self.first[run]) - 1)
+                length_[bad] = np.where(lost, 0, np.minimum(length[bad], np.maximum(*lcp)) + 1)
+            row[:n], place[:n], length[:n] = row_, place_, length_
+            hit = np.flatnonzero(length_ >= least)
+            if len(hit):
+                found.append(end[hit] - t)
+        out: list[list[int]] = [[] for _ in texts]
+        if found:
+            s = np.concatenate(found)
+            who = np.searchsorted(off, s, "right") - 1
+            gap = who * (least + 1)  # spans of neighbouring texts must not touch
+            a, b = union_length(s + gap, s + gap + least)
+            who = np.searchsorted(off + np.arange(len(off)) * (least + 1), a, "right") - 1
+            shift = off[who] + who * (least + 1)
+            for i, x, y in zip(who.tolist(), (a - shift).tolist(), (b - shift).tolist(), strict=True):
+                out[i] += (x, y)
+        return out
+
+
+def index_of(contents: list[bytes], groups: list[int]) -> tuple[RunLengthIndex, np.ndarray]:
+    """The index of texts, and where each begins in it. Texts of different groups have no symbol in common."""
     size = np.array([len(c) for c in contents], np.int64)
     off = np.zeros(len(size) + 1, np.int64)
     np.cumsum(size + 1, out=off[1:])
-    symbols = np.empty(off[-1], np.int64)
-    flat = np.frombuffer(b"\n".join([*contents, b""]), np.uint8)
+    symbols = np.frombuffer(b"\n".join([*contents, b""]), np.uint8).astype(np.int64)
     colour = np.unique(np.array(groups), return_inverse=True)[1]
-    symbols[:] = flat
     symbols += np.repeat(colour * 256, size + 1)
     symbols[off[1:] - 1] = (int(colour.max()) + 1) * 256 + np.arange(len(size))  # ends differ from all else
-    p, n, q = RunLengthIndex(symbols).matching_statistics()
-    long = n >= least
-    p, n, q = p[long], n[long], q[long]
-    a, b = union_length(np.concatenate([p, q]), np.concatenate([p + n, q + n]))
-    out: list[list[int]] = [[] for _ in contents]
+    return RunLengthIndex(symbols), off
+
+
+def long_matches(index: RunLengthIndex, off: np.ndarray, least: int) -> list[list[int]]:
+    """For each indexed text, the spans (flat pairs) that lie in strings of ``least`` bytes with another place among the texts of its group."""
+    a, b = index.repeats(least)
+    out: list[list[int]] = [[] for _ in off[1:]]
     which = np.searchsorted(off, a, "right") - 1
     for i, x, y in zip(which.tolist(), (a - off[which]).tolist(), (b - off[which]).tolist(), strict=True):
         out[i] += (x, y)
@@ -98,73 +192,84 @@ def long_matches(contents: list[bytes], groups: list[int], least: int) -> list[l
 
 
 def _index(least: int, batch_bytes: int):
-    """Rows come sorted by ``home_id``: groups are indexed together, up to ``batch_bytes``, and never matched with each other."""
-
-    def run(batches):
-        rows: list[tuple] = []
-        held, last = 0, None
+    """Rows come sorted by ``home_id, part, other``: a part's own texts are indexed, those of the other parts stream through after.
 
-        def flush():
-            spans = long_matches([r[3] for r in rows], [r[0] for r in rows], least)
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary()), pa.array([[0, len(r[3])] if r[2] else s for r, s in zip(rows, spans, strict=True)], pa.list_(pa.int32()))], names=["home_id", "digest", "spans"])
+    Homes of one part are indexed together, up to ``batch_bytes``, and never matched with each other.
+    """
 
-        for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in ("home_id", "digest", "again", "content")), strict=True):
-                if held > batch_bytes and row[0] != last:
-                    yield from flush()
-                    rows, held = [], 0
-                rows.append(row)
-                held += len(row[3])
-                last = row[0]
-        if rows:
-            yield from flush()
+    def answer(homes, digests, spans):
+        return pa.RecordBatch.from_arrays([pa.array(homes, pa.int64()), pa.array(digests, pa.binary()), pa.array(spans, pa.list_(pa.int32()))], names=["home_id", "digest", "spans"])
 
-    return run
+    def run(batches):
+        own: list[tuple] = []
+        rest: list[tuple] = []
+        held, passing, last, index = 0, 0, None, None
 
+        def flush():
+            nonlocal index
+            if own:
+                index, off = index_of([r[3] for r in own], [r[0] for r in own])
+                spans = long_matches(index, off, least)
+                yield answer([r[0] for r in own], [r[1] for r in own], [[0, len(r[3])] if r[2] else s for r, s in zip(own, spans, strict=True)])
 
-def _hashed(least: int):
-    """Each window of the rows as (hash, row and place)."""
+        def through():
+            if rest and index is not None:
+                spans = index.stream([r[3] for r in rest], least)
+                yield answer([r[0] for r in rest], [r[1] for r in rest], spans)
 
-    def run(batches):
         for batch in batches:
-            for i, c in enumerate(batch.column("content").to_pylist()):
-                data = np.frombuffer(c, np.uint8)
-                h = rolling_hash(data, least)
-                h2 = rolling_hash(data[::-1], least)[::-1]
-                n = len(h)
-                take = pa.array(np.full(n, i))
-                yield pa.RecordBatch.from_arrays([longs(h), longs(np.ascontiguousarray(h2)), batch.column("home_id").take(take), batch.column("digest").take(take), pa.array(np.arange(n, dtype=np.int32))], names=["h", "h2", "home_id", "digest", "at"])
+            for home, part, other, *row in zip(*(batch.column(c).to_pylist() for c in ("home_id", "part", "other", "digest", "again", "content")), strict=True):
+                new = (home, part) != last
+                if other and own:
+                    yield from flush()
+                    own, held = [], 0
+                if new and rest:
+                    yield from through()
+                    rest, passing = [], 0
+                if new:
+                    index = None
+                    if part > 0 or held > batch_bytes:
+                        yield from flush()
+                        own, held, index = [], 0, None
+                last = (home, part)
+                if other:
+                    rest.append((home, *row))
+                    passing += len(row[2])
+                    if passing > batch_bytes:
+                        yield from through()
+                        rest, passing = [], 0
+                else:
+                    own.append((home, *row))
+                    held += len(row[2])
+        yield from flush()
+        yield from through()
 
     return run
 
 
-def repeated_bytes(rows: DataFrame, least: int = 400, k: int = 64, group_bytes: int = 4 << 20, batch_bytes: int = 1 << 20) -> DataFrame:
+def repeated_bytes(rows: DataFrame, least: int = 400, k: int = 64, part_bytes: int = 4 << 20, batch_bytes: int = 1 << 20) -> DataFrame:
     """``rk, spans``: byte spans covered by strings of ``least`` bytes that start at two places or more; rows: ``rk, text``.
 
     Segments around recurring anchors are gathered by home (see ``_repeats``); equal segments of a home are one row with a flag
-    that says all of it recurs. Homes are indexed in batches. A home whose distinct segments exceed ``group_bytes`` would not fit
-    a task: its windows are hashed and counted as rows instead, which is exact at any size.
+    that says all of it recurs. A home of more than ``part_bytes`` is dealt to several parts. Each part is indexed by itself, and the
+    segments of the home's other parts stream through its index, so a task holds one part, whatever the home's size.
     """
     rk = rows.schema["rk"].dataType.simpleString()
     segments = recurring_segments(rows, "bytes", least, k)
     marked = segments.select(F.col("home").cast("long").alias("home_id"), F.unhex(F.md5("content")).alias("digest"), "rk", "start", "content")
     counts = marked.groupBy("home_id", "digest").agg(F.count("*").alias("n"), F.min(F.struct("rk", "start")).alias("first"), F.max(F.length("content")).alias("size"))
     counts = materialize(counts.select("home_id", "digest", (F.col("n") > 1).alias("again"), F.col("first.rk").alias("rk"), F.col("first.start").alias("start"), "size"))
-    large = materialize(counts.groupBy("home_id").agg(F.sum("size").alias("bytes")).where(F.col("bytes") > group_bytes).select("home_id", F.lit(True).alias("large")))
+    large = counts.groupBy("home_id").agg(F.sum("size").alias("bytes")).where(F.col("bytes") > part_bytes)
+    large = materialize(large.select("home_id", F.ceil(F.col("bytes") / part_bytes).cast("int").alias("parts")))
     distinct = counts.join(marked.select("home_id", "rk", "start", "content"), ["home_id", "rk", "start"]).join(large, "home_id", "left")
-    parts = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    small = distinct.where("large is null").select("home_id", "digest", "again", "content").repartition(parts, "home_id").sortWithinPartitions("home_id")
-    spans = small.mapInArrow(_index(least, batch_bytes), "home_id long, digest binary, spans array<int>")
-    if not large.isEmpty():
-        rest = distinct.where("large is not null").select("home_id", "digest", "again", "content", "size")
-        hashed = rest.mapInArrow(_hashed(least), "h long, h2 long, home_id long, digest binary, at int")
-        twice = materialize(hashed.groupBy("h", "h2", "home_id").count().where("count > 1").select("h", "h2", "home_id"))
-        found = hashed.join(twice, ["h", "h2", "home_id"]).groupBy("home_id", "digest").agg(F.flatten(F.collect_list(F.array("at", F.col("at") + least))).alias("spans"))
-        whole = rest.where("again").select("home_id", "digest", F.array(F.lit(0), F.col("size")).alias("spans"))
-        spans = spans.unionByName(found).unionByName(whole)
-    spans = materialize(spans.where(F.size("spans") > 0))
-    every = marked.select("home_id", "digest", "rk", "start").join(spans, ["home_id", "digest"])
-    found = materialize(every.groupBy("rk").agg(F.flatten(F.collect_list(F.transform("spans", lambda x: x + F.col("start")))).alias("spans")))
+    own = F.when(F.col("parts").isNull(), 0).otherwise(1 + F.pmod(F.xxhash64("digest"), F.col("parts"))).cast("int")
+    every = F.when(F.col("parts").isNull(), F.array(F.lit(0))).when(F.col("again"), F.array("own")).otherwise(F.sequence(F.lit(1), F.col("parts")))
+    dealt = distinct.withColumn("own", own).withColumn("part", F.explode(every)).withColumn("other", F.col("part") != F.col("own"))
+    tasks = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    dealt = dealt.select("home_id", "part", "other", "digest", "again", "content").repartition(tasks, "home_id", "part").sortWithinPartitions("home_id", "part", "other")
+    spans = materialize(dealt.mapInArrow(_index(least, batch_bytes), "home_id long, digest binary, spans array<int>").where(F.size("spans") > 0))
+    every_ = marked.select("home_id", "digest", "rk", "start").join(spans, ["home_id", "digest"])
+    found = materialize(every_.groupBy("rk").agg(F.flatten(F.collect_list(F.transform("spans", lambda x: x + F.col("start")))).alias("spans")))
     release(segments, counts, large, spans)
     return found
 
