@@ -1,4 +1,5 @@
 import math
+import random
 import zlib
 
 import numpy as np
@@ -70,20 +71,71 @@ def test_suffix_dedup(spark, docs, df):
 
 
 def test_suffix_dedup_large_homes(spark, docs):
-    """Homes too large for an index are counted as rows."""
+    """Homes too large for one index are dealt to several parts, which stream through each other's."""
     rows = h.frame(spark, docs).select(F.col("doc_id").alias("rk"), "text")
-    got = {r.rk: r.spans for r in suf.repeated_bytes(rows, group_bytes=1).collect()}
     covered = lambda x: {i for a, b in zip(x[::2], x[1::2], strict=True) for i in range(a, b)}
-    assert {k: len(covered(v)) for k, v in got.items()} == {i: v[1] for i, v in h.suffix_dedup(docs).items() if v[1]}
+    for size in (1, 1500, 4000):
+        got = {r.rk: r.spans for r in suf.repeated_bytes(rows, part_bytes=size, batch_bytes=900).collect()}
+        assert {k: len(covered(v)) for k, v in got.items()} == {i: v[1] for i, v in h.suffix_dedup(docs).items() if v[1]}
+
+
+def test_suffix_dedup_rows(spark, docs):
+    """Repeated rows are one document, null ids and rows of one id with unlike texts are documents, other columns stay."""
+    long = "abc " * 150
+    out = suf.suffix_dedup(h.frame(spark, docs, repeat=[0, 15, 200])).collect()
+    assert len(out) == len(docs) + 3
+    assert {(r.doc_id, r.n_removed) for r in out} == {(i, v[1]) for i, v in h.suffix_dedup(docs).items()}
+    passage = " ".join(str(i * 7919) for i in range(120))
+    rows = spark.createDataFrame([(None, passage, "k"), (1, "x" + passage, "k"), (1, passage + "y", "k"), (2, long, "k"), (3, None, "k")], "doc_id long, text string, kept string")
+    got = sorted((r.doc_id or -1, r.n_bytes, r.n_removed, r.n_spans) for r in suf.suffix_dedup(rows).collect())
+    n = len(passage)
+    assert got == [(-1, n, n, 1), (1, n + 1, n, 1), (1, n + 1, n, 1), (2, 600, 600, 1), (3, 0, 0, 0)]
+
+
+def windows_in(texts, held, least):
+    """Marks of the bytes that lie in strings of some length that are among those held."""
+    out = []
+    for t in texts:
+        m = bytearray(len(t))
+        for i in range(len(t) - least + 1):
+            if t[i : i + least] in held:
+                m[i : i + least] = b"\1" * least
+        out.append(m)
+    return out
+
+
+def marks(texts, spans):
+    out = [bytearray(len(t)) for t in texts]
+    for m, s in zip(out, spans, strict=True):
+        for a, b in zip(s[::2], s[1::2], strict=True):
+            m[a:b] = b"\1" * (b - a)
+    return out
 
 
 def test_run_length_index():
+    r = random.Random(1)
+    make = lambda letters, n: "".join(r.choice(letters) for _ in range(n)).encode()
+    for _ in range(80):
+        least, letters = r.choice([3, 5, 8, 20]), r.choice(["ab", "abc", "abcdefgh"])
+        own = [make(letters, r.randint(least, 80)) for _ in range(r.randint(1, 5))]
+        texts = [make(letters, r.randint(0, 120)) + (own[0][r.randint(0, 20) :] + b"zz" + own[-1]) * (i % 2) for i in range(r.randint(1, 6))]
+        index, off = suf.index_of(own, [0] * len(own))
+        windows = [o[i : i + least] for o in own for i in range(len(o) - least + 1)]
+        assert marks(texts, index.stream(texts, least, lane=r.choice([4, 16, 4096]))) == windows_in(texts, set(windows), least)
+        assert marks(own, suf.long_matches(index, off, least)) == windows_in(own, {w for w in windows if windows.count(w) > 1}, least)
     text = np.frombuffer(b"banana-bandana-banana$", np.uint8).astype(np.int64)
-    sa = suf.suffix_array(text)
     raw = text.astype(np.uint8).tobytes()
-    assert [raw[i:] for i in sa] == sorted(raw[i:] for i in range(len(raw)))
-    p, n, q = suf.RunLengthIndex(text).matching_statistics()
-    assert all(raw[a : a + k] == raw[b : b + k] for a, k, b in zip(p, n, q, strict=True))
+    assert [raw[i:] for i in suf.suffix_array(text)] == sorted(raw[i:] for i in range(len(raw)))
+
+
+def test_run_length_index_hash_collisions():
+    """Strings with equal hashes (a Thue-Morse word and its opposite) are told apart by their bytes."""
+    word = "".join("ab"[i.bit_count() % 2] for i in range(4096))
+    own = [b"x" + word.encode() + b"y", b"x" + word.translate(str.maketrans("ab", "ba")).encode() + b"y"]
+    index, off = suf.index_of(own, [0, 0])
+    windows = [o[i : i + 700] for o in own for i in range(len(o) - 699)]
+    seen = {w for w in windows if windows.count(w) > 1}
+    assert marks(own, suf.long_matches(index, off, 700)) == windows_in(own, seen, 700)
 
 
 def test_simhash(spark, docs, df):
@@ -172,13 +224,38 @@ def test_topk(spark):
     rows = [(i, rng.normal(size=8).astype(np.float32).tolist()) for i in range(300)]
     rows += [(300 + i, rows[3][1]) for i in range(30)] + [(400, None), (401, [float("nan")] * 8), (402, [None] * 8), (450, [math.inf] * 8)]
     frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
-    got = {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in exact_topk(frame, F.col("vec_id") % 50 == 0, shard_rows=64, leaf=8).collect()}
-    assert got == h.topk(rows, 5)
+    for shard_rows in (16384, 64, 7):
+        got = {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in exact_topk(frame, F.col("vec_id") % 50 == 0, shard_rows=shard_rows, leaf=8).collect()}
+        assert got == h.topk(rows, 5)
     few = spark.createDataFrame(rows[:3], frame.schema)
     assert exact_topk(few, F.col("vec_id") == 0).count() == 2
     assert exact_topk(few.limit(0), F.lit(True)).count() == 0
 
 
+def test_topk_large_components(spark):
+    """Sums beyond 2^53 and 2^63 are exact; the latter are given as the end of a long's range, in their true order."""
+    rng = np.random.default_rng(7)
+    for size in (1e6, 1e15, 1e18):
+        rows = [(i, (rng.normal(size=3) * size).tolist()) for i in range(120)]
+        v = {i: [math.floor(256 * c) for c in x] for i, x in rows}
+        got = {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in exact_topk(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 50 == 0, k=3, leaf=4, shard_rows=1 << 20).collect()}
+        want = {}
+        for q in (0, 50, 100):
+            ranked = sorted((-sum(a * b for a, b in zip(v[q], v[c], strict=True)), c) for c in v if c != q)[:3]
+            want |= {(q, n + 1): (c, min(max(-s, -(2**63)), 2**63 - 1)) for n, (s, c) in enumerate(ranked)}
+        if size == 1e6:
+            assert got == want
+        else:
+            assert {k: s for k, (_, s) in got.items()} == {k: s for k, (_, s) in want.items()}
+
+
+def test_topk_rows(spark):
+    """Null ids, repeated rows, unequal lengths, other columns, an id with two vectors."""
+    rows = [(None, [1.0, 1.0], 1), (50, [1.0, 0.0], 1), (50, [1.0, 0.0], 2), (50, [0.0, 1.0], 3), (51, [2.0, 0.0], 4), (51, [2.0, 0.0], 4), (52, [3.0], 5), (53, [], 6)]
+    out = exact_topk(spark.createDataFrame(rows, "vec_id long, embedding array<double>, score int"), F.col("vec_id") == 50).collect()
+    assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in out) == [(50, 1, 51, 0), (50, 1, 51, 131072)]
+
+
 def test_language_model(spark, docs, df):
     learn = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(7)) != 2
     toks = {i: (t or "").translate(h.ASCII_LOWER).encode().split() + [None] for i, t in docs.items()}
