@@ -22,24 +22,30 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
-def materialize(df: DataFrame) -> DataFrame:
+def materialize(df: DataFrame, buckets: tuple[int, str] | None = None) -> DataFrame:
     """Write a frame to the shared folder and read it back.
 
     Cuts the lineage, so that a lost executor costs a re-read and not a re-run, and forgets the partitioning, so
     that adaptive execution can split hot keys of a later join. Shuffle files of what was written are deleted at once, the table
-    itself by ``release`` or at the application's end.
+    itself by ``release`` or at the application's end. buckets: a number and a column; joins on that column then need no shuffle
+    of the table.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/confluo/{uuid.uuid4().hex}"
+    name = uuid.uuid4().hex
+    path = f"{shared_dir(spark)}/confluo/{name}"
     before = spark.conf.get(_CLEANUP)
     spark.conf.set(_CLEANUP, "true")
     try:
-        df.write.option("compression", "zstd").parquet(path)
+        writer = df.write.option("compression", "zstd")
+        if buckets:
+            writer.bucketBy(*buckets).format("parquet").option("path", path).saveAsTable(f"confluo_{name}")
+        else:
+            writer.parquet(path)
     finally:
         spark.conf.set(_CLEANUP, before)
     folder, system = _folder(spark, path)
     system.deleteOnExit(folder)
-    out = spark.read.schema(df.schema).parquet(path)
+    out = spark.table(f"confluo_{name}") if buckets else spark.read.schema(df.schema).parquet(path)
     out._confluo_path = path
     return out
 
@@ -49,6 +55,7 @@ def release(*frames: DataFrame) -> None:
     for df in frames:
         path = getattr(df, "_confluo_path", None)
         if path:
+            df.sparkSession.sql(f"DROP TABLE IF EXISTS confluo_{path.rsplit('/', 1)[1]}")
             folder, system = _folder(df.sparkSession, path)
             system.delete(folder, True)
 
