@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,10 +18,15 @@ _B, _BINV = np.uint64(0x9E3779B97F4A7C15), np.uint64(pow(0x9E3779B97F4A7C15, -1,
 _tables: dict[str, np.ndarray] = {}
 
 
-def bound_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Whole texts go to Python in batches of this many rows at most: the default of 10,000 takes too much memory beside a task's heap."""
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+def bound_batches(spark: SparkSession, size: int = 8 << 20) -> None:
+    """Texts go to Python in batches of about this many bytes, and of 1,000 rows, at most.
+
+    Frames are planned when they are read, after an operator has returned, so the two settings of the session stay.
+    """
+    for key, most in (("spark.sql.execution.arrow.maxBytesPerBatch", size), ("spark.sql.execution.arrow.maxRecordsPerBatch", 1000)):
+        now = int(re.sub(r"\D", "", spark.conf.get(key)) or most + 1)
+        if not 0 < now <= most:
+            spark.conf.set(key, str(most))
 
 
 def document_key(docs: DataFrame) -> Column:
@@ -72,7 +78,7 @@ def word_spans(data: np.ndarray, off: np.ndarray, space: np.ndarray = WS) -> tup
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_tables.get("p", ())) < n:
-        size = max(n, 1 << 21)
+        size = 1 << max(n - 1, 1 << 18).bit_length()
         for name, base in (("p", _B), ("i", _BINV)):
             x = np.full(size, base, np.uint64)
             x[0] = 1

@@ -170,7 +170,7 @@ class Cutter:
 
 
 def _planes(x: np.ndarray) -> bytes:
-    return zstandard.compress(np.ascontiguousarray(x.astype("<i4").view(np.uint8).reshape(-1, 4).T).tobytes(), 3)
+    return zstandard.compress(np.ascontiguousarray(x.astype("<i4", copy=False).view(np.uint8).reshape(-1, 4).T).tobytes(), 3)
 
 
 def _from_planes(b: bytes) -> np.ndarray:
@@ -188,26 +188,28 @@ def _pack(pieces: list[str], part_bytes: int):
 
         def flush():
             flat = np.concatenate(seq)
+            seq.clear()
             order = np.argsort(-np.bincount(flat, minlength=len(numbers)), kind="stable")
-            place = np.empty(len(numbers), np.int64)
+            place = np.empty(len(numbers), np.int32)
             place[order] = np.arange(len(numbers))
+            np.take(place, flat, out=flat)
             keys = pa.concat_arrays(names)
             part = pa.scalar(int.from_bytes(hashlib.blake2b(repr(keys.to_pylist()).encode(), digest_size=8).digest(), "little", signed=True), pa.int64())
             kind = pa.list_(keys.type)
             head = pa.ListArray.from_arrays(pa.array([0, len(keys)], pa.int32()), keys).cast(kind)
             yield pa.RecordBatch.from_arrays(
-                [pa.repeat(part, 1), pa.array([-1], pa.int32()), pa.nulls(1, pa.string()), head, pa.array([_planes(place[flat])], pa.binary()), pa.array([_planes(np.concatenate(counts))], pa.binary())],
+                [pa.repeat(part, 1), pa.array([-1], pa.int32()), pa.nulls(1, pa.string()), head, pa.array([_planes(flat)], pa.binary()), pa.array([_planes(np.concatenate(counts))], pa.binary())],
                 names=["part", "place", "unit", "names", "body", "counts"],
             )
             units = sorted(numbers)
             for i in range(0, len(units), 1 << 15):
                 some = units[i : i + (1 << 15)]
                 n = len(some)
-                at = place[np.fromiter((numbers[u] for u in some), np.int64, n)].astype(np.int32)
+                at = place[np.fromiter((numbers[u] for u in some), np.int64, n)]
                 yield pa.RecordBatch.from_arrays([pa.repeat(part, n), pa.array(at), pa.array(some, pa.string()), pa.nulls(n, kind), pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary())], names=["part", "place", "unit", "names", "body", "counts"])
 
         for batch in batches:
-            for piece in slices([batch]):
+            for piece in slices([batch], limit=1 << 18):
                 units, number, n = cutter.cut(piece.column("text").to_pylist())
                 known = np.fromiter((numbers.setdefault(u, len(numbers)) for u in units), np.int32, len(units))
                 names.append(piece.column("rk"))
@@ -257,7 +259,7 @@ def _gather():
 
 
 def _assemble(zero: int):
-    """Rows come sorted by part, its documents first and then the answers: the ids of each document."""
+    """A row is a part with the answers to it: the ids of each document."""
 
     def spelled(ids: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Characters that no piece covers as the ids of their bytes."""
@@ -275,10 +277,7 @@ def _assemble(zero: int):
         return out, np.diff(total[ends])
 
     def run(batches):
-        part, head, replies = None, None, []
-
-        def out():
-            names, seq, counts = head
+        def out(names, seq, counts, replies):
             units = int(seq.max()) + 1 if len(seq) else 0
             n, at, base = np.full(units, -1, np.int64), np.zeros(units, np.int64), 0
             for places, sizes, ids in replies:
@@ -298,23 +297,19 @@ def _assemble(zero: int):
                 yield pa.RecordBatch.from_arrays([names.slice(i, 64), pa.ListArray.from_arrays(pa.array(off), pa.array(got.astype(np.int32)))], names=["rk", "ids"])
 
         for batch in batches:
-            for i, p in enumerate(batch.column("part").to_pylist()):
-                body = [None if batch.column(c)[i].as_py() is None else _from_planes(batch.column(c)[i].as_py()) for c in ("places", "sizes", "ids")]
-                names = batch.column("names")[i]
-                if names.is_valid:
-                    if part is not None:
-                        yield from out()
-                    part, head, replies = p, (names.values, body[2], body[1]), []
-                else:
-                    ids, sizes = spelled(body[2], body[1].astype(np.int64))
-                    replies.append((np.cumsum(body[0]), sizes, ids))
-        if part is not None:
-            yield from out()
+            for i in range(batch.num_rows):
+                names, body, counts, answers = (batch.column(c)[i] for c in ("names", "body", "counts", "answers"))
+                replies = []
+                for answer in answers.values or () if answers.is_valid else ():
+                    sizes, ids = (_from_planes(answer[c].as_py()) for c in ("sizes", "ids"))
+                    ids, sizes = spelled(ids, sizes.astype(np.int64))
+                    replies.append((np.cumsum(_from_planes(answer["places"].as_py())), sizes, ids))
+                yield from out(names.values, _from_planes(body.as_py()), _from_planes(counts.as_py()), replies)
 
     return run
 
 
-def encode(docs: DataFrame, model_file: str, part_bytes: int = 16 << 20) -> DataFrame:
+def encode(docs: DataFrame, model_file: str, part_bytes: int = 32 << 20) -> DataFrame:
     """``doc_id, ids`` of each row of docs (``doc_id, text``): the cheapest path through the piece table.
 
     Spaces count as the mark that pieces have for them, one more stands before the text; a character that no piece covers
@@ -334,7 +329,8 @@ def encode(docs: DataFrame, model_file: str, part_bytes: int = 16 << 20) -> Data
     if rk != "bigint":
         texts = texts.dropDuplicates(["rk"])
     buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    packed = materialize(texts.select("rk", "text").mapInArrow(_pack([p for p, _, _ in rows], part_bytes), f"part long, place int, unit string, names array<{rk}>, body binary, counts binary"))
+    schema = f"part long, place int, unit string, names array<{rk}>, body binary, counts binary"
+    packed = materialize(texts.select("rk", "text").mapInArrow(_pack([p for p, _, _ in rows], part_bytes), schema), buckets=(buckets, "part"))
     # one exchange by unit serves the lattice and the answers: all three branches read the same columns; many small tasks, as a task's edges are sorted in memory
     asked = packed.where("place >= 0 and unit is not null").select("part", "place", "unit").repartition(4 * buckets, "unit")
     units = asked.groupBy("unit").agg(F.max("part").alias("part"), F.max("place").alias("place"), F.max(F.when(F.col("unit") == _LITERAL, 0).otherwise(F.length("unit"))).alias("n")).where("part is not null and place >= 0")
@@ -342,10 +338,10 @@ def encode(docs: DataFrame, model_file: str, part_bytes: int = 16 << 20) -> Data
     long = units.where(F.col("n") > LONGEST).select("unit").mapInArrow(_long_paths(rows, other), "unit string, ids array<int>").withColumnRenamed("ids", "long_ids")
     answers = asked.join(short.hint("shuffle_hash"), "unit", "left").join(long.hint("shuffle_hash"), "unit", "left")
     ids = F.coalesce("ids", "long_ids", F.when(F.col("unit") == _LITERAL, F.array(F.lit(-1 - ord(MARK)))))
-    replies = materialize(answers.select("part", "place", ids.alias("ids")).sortWithinPartitions("part").mapInArrow(_gather(), "part long, places binary, sizes binary, ids binary"))
-    heads = packed.where("place < 0").select("part", F.lit(None).cast("binary").alias("places"), F.col("counts").alias("sizes"), F.col("body").alias("ids"), "names")
-    both = heads.unionByName(replies.withColumn("names", F.lit(None).cast(f"array<{rk}>")))
-    out = both.repartition(buckets, "part").sortWithinPartitions("part", F.col("names").isNull()).mapInArrow(_assemble(zero), f"rk {rk}, ids array<int>")
+    replies = answers.select("part", "place", ids.alias("ids")).sortWithinPartitions("part").mapInArrow(_gather(), "part long, places binary, sizes binary, ids binary")
+    replies = replies.groupBy("part").agg(F.collect_list(F.struct("places", "sizes", "ids")).alias("answers"))
+    heads = packed.where("place < 0").select("part", "names", "body", "counts")
+    out = heads.join(replies, "part", "left").select("names", "body", "counts", "answers").mapInArrow(_assemble(zero), f"rk {rk}, ids array<int>")
     if rk != "bigint":
         return docs.select(key.alias("rk"), "doc_id").join(out, "rk").select("doc_id", "ids")
     return out.select(F.col("rk").alias("doc_id"), "ids")
