@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -50,15 +48,15 @@ def read_csv(spark: SparkSession, path: str) -> DataFrame:
     are padded, extra cells ignored, blank lines skipped; quotes, line breaks in quotes, a byte-order mark and bytes that are no
     UTF-8 are read.
     """
+    reader = spark.read.option("multiLine", True).option("quote", '"').option("escape", '"').option("mode", "PERMISSIVE")
     try:
-        raw = spark.read.option("header", True).option("multiLine", True).option("quote", '"').option("escape", '"').option("mode", "PERMISSIVE").csv(path)
+        header = reader.csv(path).first()
     except AnalysisException:
         return empty_partials(spark)
-    if not raw.columns:
+    if header is None:
         return empty_partials(spark)
-    last = {}
-    for i, c in enumerate(raw.columns):
-        base = re.sub(r"\d+$", "", c)
-        last[base if base in COLUMNS and c != base else c] = i
-    named = raw.toDF(*[f"c{i}" for i in range(len(raw.columns))]).select(*[F.col(f"c{i}").alias(c) for c, i in last.items() if c in COLUMNS], F.monotonically_increasing_id().alias("_idx"))
+    # Spark renames repeated headers, so columns are found by their place in the header as it is written
+    place = {(name or "").lstrip("\ufeff"): i for i, name in enumerate(header)}
+    raw = reader.option("header", True).csv(path)
+    named = raw.toDF(*[f"c{i}" for i in range(len(raw.columns))]).select(*[F.col(f"c{place[c]}").alias(c) for c in COLUMNS if c in place], F.monotonically_increasing_id().alias("_idx"))
     return from_rows(named, F.col("_idx"))

@@ -108,7 +108,7 @@ def education_items(lines: DataFrame) -> DataFrame:
     degree = F.regexp_extract("study", DEGREE, 0)
     rest = F.btrim(F.substr("study", F.length(degree) + 1), F.lit(" ,in"))
     item = F.struct(
-        _value(F.when(F.size("parts") >= 2, F.array_join(F.slice("parts", 2, 1000), ", ")), FREE).alias("institution"),
+        _value(F.when(F.size("parts") >= 2, F.array_join(F.slice("parts", F.lit(2), F.size("parts")), ", ")), FREE).alias("institution"),
         _value(F.when(degree != "", strip(degree)), FREE).alias("degree"),
         _value(F.when(degree != "", blank_to_null(rest)).otherwise(F.col("study")), FREE).alias("field"),
         _value(_found(F.col("line"), YEAR), FREE).alias("year"),
