@@ -170,12 +170,18 @@ class Cutter:
 
 
 def _planes(x: np.ndarray) -> bytes:
-    return zstandard.compress(np.ascontiguousarray(x.astype("<i4", copy=False).view(np.uint8).reshape(-1, 4).T).tobytes(), 3)
+    """Whole numbers, compressed byte by byte: all lowest bytes first."""
+    cells = x.astype("<i4", copy=False).view(np.uint8)
+    packer = zstandard.ZstdCompressor(level=3).compressobj(size=len(cells))
+    return b"".join([*(packer.compress(cells[i::4].tobytes()) for i in range(4)), packer.flush()])
 
 
 def _from_planes(b: bytes) -> np.ndarray:
-    raw = np.frombuffer(zstandard.decompress(b), np.uint8)
-    return np.ascontiguousarray(raw.reshape(4, -1).T).view("<i4").ravel()
+    raw = np.frombuffer(zstandard.decompress(b), np.uint8).reshape(4, -1)
+    out = np.empty((raw.shape[1], 4), np.uint8)
+    for i in range(4):
+        out[:, i] = raw[i]
+    return out.view("<i4").ravel()
 
 
 def _pack(pieces: list[str], part_bytes: int):
@@ -184,11 +190,10 @@ def _pack(pieces: list[str], part_bytes: int):
     def run(batches):
         cutter = Cutter(pieces)
         numbers: dict[str, int] = {}
-        names, seq, counts, held = [], [], [], 0
+        names, seq, counts, held = [], bytearray(), [], 0
 
         def flush():
-            flat = np.concatenate(seq)
-            seq.clear()
+            flat = np.frombuffer(seq, np.int32)
             order = np.argsort(-np.bincount(flat, minlength=len(numbers)), kind="stable")
             place = np.empty(len(numbers), np.int32)
             place[order] = np.arange(len(numbers))
@@ -202,8 +207,8 @@ def _pack(pieces: list[str], part_bytes: int):
                 names=["part", "place", "unit", "names", "body", "counts"],
             )
             units = sorted(numbers)
-            for i in range(0, len(units), 1 << 15):
-                some = units[i : i + (1 << 15)]
+            for i in range(0, len(units), 1 << 13):
+                some = units[i : i + (1 << 13)]
                 n = len(some)
                 at = place[np.fromiter((numbers[u] for u in some), np.int64, n)]
                 yield pa.RecordBatch.from_arrays([pa.repeat(part, n), pa.array(at), pa.array(some, pa.string()), pa.nulls(n, kind), pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary())], names=["part", "place", "unit", "names", "body", "counts"])
@@ -213,12 +218,12 @@ def _pack(pieces: list[str], part_bytes: int):
                 units, number, n = cutter.cut(piece.column("text").to_pylist())
                 known = np.fromiter((numbers.setdefault(u, len(numbers)) for u in units), np.int32, len(units))
                 names.append(piece.column("rk"))
-                seq.append(known[number])
+                seq.extend(known[number].data)
                 counts.append(n)
                 held += piece.column("text").nbytes
                 if held >= part_bytes:
                     yield from flush()
-                    numbers, names, seq, counts, held = {}, [], [], [], 0
+                    numbers, names, seq, counts, held = {}, [], bytearray(), [], 0
         if names:
             yield from flush()
 
