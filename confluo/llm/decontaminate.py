@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
@@ -118,15 +121,26 @@ def _windows(rows: list, ngram: int) -> dict[bytes, set[str]]:
     return out
 
 
-def _search(windows: dict[bytes, set[str]], ngram: int):
-    """A column function: words, spans of hit words (flat pairs), and ids of the items found."""
-    full = [w for w in windows if w.count(b" ") == ngram + 1]
-    short = [w for w in windows if w.count(b" ") <= ngram]
-    items = [(group, [sorted(windows[w]) for w in group]) for group in (full, short) if group]
+_built: dict[str, list[tuple[WuManber, list[list[str]]]]] = {}
+
+
+def _machines(name: str, rows: list, ngram: int) -> list[tuple[WuManber, list[list[str]]]]:
+    """The tables of a block, with the items of each pattern: made once in a process, which keeps those of its latest search."""
+    if name not in _built:
+        for other in [n for n in _built if n.split("/")[0] != name.split("/")[0]]:
+            del _built[other]
+        windows = _windows(rows, ngram)
+        groups = [w for w in windows if w.count(b" ") == ngram + 1], [w for w in windows if w.count(b" ") <= ngram]
+        _built[name] = [(WuManber(g), [sorted(windows[w]) for w in g]) for g in groups if g]
+    return _built[name]
+
+
+def _search(sent: Broadcast, name: str, ngram: int):
+    """A column function: words, spans of hit words (flat pairs), and ids of the items found. sent: the items of a block."""
 
     @arrow_udf("struct<n_words bigint, spans array<int>, items array<string>>")
     def run(col: pa.Array) -> pa.Array:
-        machines = [(WuManber(group), ids) for group, ids in items]
+        machines = _machines(name, sent.value, ngram)
         parts = []
         for batch in slices([pa.RecordBatch.from_arrays([col], names=["text"])]):
             data, off = text_bytes(batch.column(0))
@@ -181,8 +195,8 @@ def find_benchmark(docs: DataFrame, benchmark: DataFrame, ngram: int = 10, block
     spans: start and end of each run of hit words, one after the other; items: ids of the items with occurring
     windows, sorted as strings.
 
-    The benchmark is sent to the tasks in blocks of at most ``block_bytes`` of its text; one of more than that gives a
-    search for each block within the same pass over docs.
+    The benchmark is broadcast in blocks of at most ``block_bytes`` of its text, whose tables each process builds once; one of more than
+    that gives a search for each block within the same pass over docs.
 
     Null texts have no words; null item ids are listed as an empty string; repeated items count once. An empty
     benchmark hits nothing. Columns named like the results are replaced.
@@ -190,12 +204,12 @@ def find_benchmark(docs: DataFrame, benchmark: DataFrame, ngram: int = 10, block
     bound_batches(docs.sparkSession)
     size = benchmark.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-size // block_bytes))
-    out, names = docs, []
+    out, names, search = docs, [], uuid.uuid4().hex
     for i in range(blocks):
         rows = benchmark.where(F.col("text").isNotNull() & (F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == i)).select("item_id", "text").collect()
-        windows = _windows(rows, ngram)
+        sent = docs.sparkSession.sparkContext.broadcast([(r["item_id"], r["text"]) for r in rows])
         names.append(f"_cf_hit{i}")
-        out = out.withColumn(names[-1], _search(windows, ngram)(F.col("text")))
+        out = out.withColumn(names[-1], _search(sent, f"{search}/{i}", ngram)(F.col("text")))
     spans = F.col(f"{names[0]}.spans") if blocks == 1 else _merge(F.flatten(F.array(*[F.col(f"{n}.spans") for n in names])))
     results = {
         "n_words": F.col(f"{names[0]}.n_words"),
