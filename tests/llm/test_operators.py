@@ -328,6 +328,37 @@ def test_licenses_several_copies(spark):
     assert all(x[1] <= y[0] for v in got.values() for x, y in zip(v, v[1:], strict=False))
 
 
+def test_licenses_whole_texts(spark):
+    """Each whole text is found as itself, with all of its words, and BSD texts with three clauses hold that with two."""
+    rows = list(enumerate(f"about this {i}\n{TEMPLATES[name]}\nand more" for i, name in enumerate(TEMPLATES)))
+    got = {r.doc_id: {x.license: x.coverage for x in r.licenses} for r in scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got[i].get(name) == 1.0 for i, name in enumerate(TEMPLATES))
+    names = list(TEMPLATES)
+    assert got[names.index("BSD-3-Clause")]["BSD-2-Clause"] == 1.0 and "BSD-3-Clause" in got[names.index("BSD-2-Clause")]
+    assert "GPL-3.0" not in got[names.index("GPL-2.0")] and "Apache-2.0" not in got[names.index("MPL-2.0")]
+
+
+def aligned(a, b):
+    """Longest common subsequence of two lists, by the plain table."""
+    row = [0] * (len(b) + 1)
+    for x in a:
+        before = row[:]
+        for j, y in enumerate(b):
+            row[j + 1] = before[j] + 1 if x == y else max(before[j + 1], row[j])
+    return row[-1]
+
+
+def test_patience_against_brute_force():
+    """Pairs increase on both sides and are equal words; where copies differ in single words all common words are aligned."""
+    r = random.Random(3)
+    for _ in range(60):
+        b = [f"w{r.randint(0, 60)}" for _ in range(40)]
+        a = [f"new{i}" if r.random() < 0.1 else w for i, w in enumerate(b)]
+        pairs = patience(a, b)
+        assert all(a[i] == b[j] for i, j in pairs) and all(x[0] < y[0] and x[1] < y[1] for x, y in zip(pairs, pairs[1:], strict=False))
+        assert len(pairs) <= aligned(a, b) and len(pairs) >= 0.9 * aligned(a, b)
+
+
 def test_sentencepiece(spark, docs, df):
     out = encode(df, MODEL)
     rows = out.select("doc_id", "ids", decode(F.col("ids"), MODEL).alias("text")).collect()
