@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from confluo.storage import materialize
+from confluo.storage import materialize, release
 
 
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 60) -> DataFrame:
@@ -26,7 +26,8 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
         # small star: each smaller neighbour of a node, and the node, move to the smallest of them
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e"))
-        e = materialize(small.select("e.u", "e.v").where("u <> v").distinct())
+        last, e = e, materialize(small.select("e.u", "e.v").where("u <> v").distinct())
+        release(last)
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             break
