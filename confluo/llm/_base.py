@@ -43,6 +43,14 @@ def document_key(docs: DataFrame) -> Column:
     return F.struct(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("d"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("h"))
 
 
+def free_name(docs: DataFrame, name: str) -> str:
+    """The name, or with more underscores, as no column of docs has it."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Cut batches so that each holds about ``limit`` bytes of text, or one row."""
     for batch in batches:

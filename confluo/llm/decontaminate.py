@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from confluo.llm._base import LOWER, bound_batches, slices, text_bytes, union_length, word_spans
+from confluo.llm._base import LOWER, bound_batches, free_name, slices, text_bytes, union_length, word_spans
 
 #: Bytes that end a word, once A-Z are in lower case: all below 0x80 but 0-9 and a-z.
 _BREAK = np.ones(256, bool)
@@ -208,7 +208,7 @@ def find_benchmark(docs: DataFrame, benchmark: DataFrame, ngram: int = 10, block
     for i in range(blocks):
         rows = benchmark.where(F.col("text").isNotNull() & (F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == i)).select("item_id", "text").collect()
         sent = docs.sparkSession.sparkContext.broadcast([(r["item_id"], r["text"]) for r in rows])
-        names.append(f"_cf_hit{i}")
+        names.append(free_name(docs, f"_hit{i}"))
         out = out.withColumn(names[-1], _search(sent, f"{search}/{i}", ngram)(F.col("text")))
     spans = F.col(f"{names[0]}.spans") if blocks == 1 else _merge(F.flatten(F.array(*[F.col(f"{n}.spans") for n in names])))
     results = {

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from confluo.llm._base import document_key, longs
+from confluo.llm._base import document_key, free_name, longs
 from confluo.storage import materialize
 
 _SPACE = b" \t\n\x0b\x0c\r"
@@ -58,7 +58,7 @@ def line_dedup(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> DataF
     lines = rows.mapInArrow(_line_keys(min_chars), f"rk {rk}, doc_id long, key binary, places array<int>")
     n = F.count("*") if unique else F.count_distinct("doc_id") + F.max(F.col("doc_id").isNull().cast("int"))
     often = materialize(lines.groupBy("key").agg(n.alias("n"), F.max("doc_id").alias("keeper")).where(F.col("n") >= min_docs).select("key", "keeper"))
-    drop = lines.join(often, "key").where(~F.col("doc_id").eqNullSafe(F.col("keeper"))).groupBy("rk").agg(F.flatten(F.collect_set("places")).alias("_cf_drop"))
+    drop = lines.join(often, "key").where(~F.col("doc_id").eqNullSafe(F.col("keeper"))).groupBy("rk").agg(F.flatten(F.collect_set("places")).alias("places"))
 
     @arrow_udf("struct<text string, n_lines bigint, n_dropped bigint>")
     def reassemble(text: pa.Array, drop: pa.Array) -> pa.Array:
@@ -71,11 +71,16 @@ def line_dedup(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> DataF
             dropped.append(len(gone))
         return pa.StructArray.from_arrays([pa.array(out, pa.string()), longs(np.array(lines, np.int64)), longs(np.array(dropped, np.int64))], names=["text", "n_lines", "n_dropped"])
 
-    return _with_result(docs, key, drop, reassemble(F.col("text"), F.col("_cf_drop")), ["text", "n_lines", "n_dropped"], ["_cf_drop"])
+    return _with_result(docs, key, drop, reassemble, ["text", "n_lines", "n_dropped"])
 
 
-def _with_result(docs: DataFrame, key, found: DataFrame, result, names: list[str], used: list[str]) -> DataFrame:
-    """docs with what was found for each document joined to it and the fields of ``result`` in place of its columns."""
-    joined = docs.withColumn("_cf_rk", key).join(found.withColumnRenamed("rk", "_cf_rk"), "_cf_rk", "left").withColumn("_cf_out", result)
-    kept = [F.col(f"_cf_out.{c}").alias(c) if c in names else F.col(f"`{c}`") for c in docs.columns]
-    return joined.select(*kept, *[F.col(f"_cf_out.{c}").alias(c) for c in names if c not in docs.columns])
+def _with_result(docs: DataFrame, key, found: DataFrame, make, names: list[str]) -> DataFrame:
+    """docs with the fields of a result in place of columns of these names. found: ``rk`` and what was found there; make: the result from the text and that.
+
+    A merge join at every size: what was found is compressed on disk, so that its size there says little about a broadcast.
+    """
+    rk, out, hit = (free_name(docs, c) for c in ("_rk", "_out", "_found"))
+    found = found.select(F.col("rk").alias(rk), F.col(next(c for c in found.columns if c != "rk")).alias(hit))
+    joined = docs.withColumn(rk, key).join(found.hint("merge"), rk, "left").withColumn(out, make(F.col("text"), F.col(hit)))
+    kept = [F.col(f"{out}.{c}").alias(c) if c in names else F.col(f"`{c}`") for c in docs.columns]
+    return joined.select(*kept, *[F.col(f"{out}.{c}").alias(c) for c in names if c not in docs.columns])

@@ -13,9 +13,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from confluo.llm._base import LOWER, document_key, longs, mix, prefix_hash, slices, span_hash, text_bytes, word_hashes, word_spans
+from confluo.llm._base import LOWER, document_key, free_name, longs, mix, prefix_hash, slices, span_hash, text_bytes, word_hashes, word_spans
 from confluo.operators.components import connected_components
-from confluo.storage import materialize
+from confluo.storage import materialize, release
 
 _P1, _P2, _P3, _P4, _P5 = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
 
@@ -356,7 +356,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
     buckets only. A pair at the threshold shares none of the six with a chance of 0.2^6. Texts of equal sets are compared once. Buckets of over
     ``part`` texts or ``part_bytes`` of hashes are dealt out by pairs of their parts.
 
-    Texts without words are their own group each. The key is doc_id where it is unique and not null, else (doc_id, hash of the text). A column named component is replaced.
+    Texts without words are their own group each. The key is doc_id where it is unique and not null, else (doc_id, hash of the text). Columns named component or document_key are replaced.
     """
     key = document_key(docs)
     rows = docs.select(key.alias("rk"), F.coalesce("text", F.lit("")).alias("text"))
@@ -377,6 +377,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
     links = split.join(sets, "rk").select("bucket", "rk", "shingles").repartition(n, "bucket").sortWithinPartitions("bucket", "rk").mapInArrow(_verified(similarity), f"a {rk}, b {rk}")
     found = connected_components(links, "a", "b")
     groups = first.join(found.withColumnRenamed("node", "rk"), "rk", "left").select("same", F.coalesce("component", "rk").alias("component"))
-    component = materialize(marked.select("rk", "same").distinct().join(groups, "same").select(F.col("rk").alias("_cf_rk"), F.col("component").alias("_cf_component")))
-    out = docs.withColumn("_cf_rk", key).join(component, "_cf_rk", "left")
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns if c != "component"], F.coalesce("_cf_component", "_cf_rk").alias("component"), F.col("_cf_rk").alias("document_key"))
+    rk_, group = free_name(docs, "_rk"), free_name(docs, "_group")
+    component = materialize(marked.select("rk", "same").distinct().join(groups, "same").select(F.col("rk").alias(rk_), F.col("component").alias(group)))
+    release(marked, first, dealt, sizes, split)
+    out = docs.withColumn(rk_, key).join(component, rk_, "left")
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns if c not in ("component", "document_key")], F.coalesce(group, rk_).alias("component"), F.col(rk_).alias("document_key"))

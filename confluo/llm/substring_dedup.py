@@ -151,7 +151,7 @@ def substring_dedup(docs: DataFrame, size: int = 20) -> DataFrame:
     """
     key = document_key(docs)
     rows = docs.select(key.alias("rk"), "text").dropDuplicates(["rk"]) if docs.select(key.alias("rk")).dtypes[0][1] != "bigint" else docs.select(key.alias("rk"), "text")
-    found = repeated_spans(rows, size).withColumnRenamed("spans", "_cf_spans")
+    found = repeated_spans(rows, size)
 
     @arrow_udf("struct<text string, n_words bigint, n_removed bigint, spans array<int>>")
     def keep(text: pa.Array, spans: pa.Array) -> pa.Array:
@@ -169,4 +169,4 @@ def substring_dedup(docs: DataFrame, size: int = 20) -> DataFrame:
             gone.append(x or [])
         return pa.StructArray.from_arrays([pa.array(out, pa.binary()).cast(pa.string()), longs(np.array(total, np.int64)), longs(np.array(removed, np.int64)), pa.array(gone, pa.list_(pa.int32()))], names=["text", "n_words", "n_removed", "spans"])
 
-    return _with_result(docs, key, found, keep(F.col("text"), F.col("_cf_spans")), ["text", "n_words", "n_removed", "spans"], ["_cf_spans"])
+    return _with_result(docs, key, found, keep, ["text", "n_words", "n_removed", "spans"])

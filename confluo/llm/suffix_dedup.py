@@ -286,7 +286,7 @@ def suffix_dedup(docs: DataFrame, least: int = 400) -> DataFrame:
     """
     key = document_key(docs)
     rows = docs.select(key.alias("rk"), "text").dropDuplicates(["rk"]) if docs.select(key.alias("rk")).dtypes[0][1] != "bigint" else docs.select(key.alias("rk"), "text")
-    found = repeated_bytes(rows, least).withColumnRenamed("spans", "_cf_spans")
+    found = repeated_bytes(rows, least)
 
     @arrow_udf("struct<kept binary, n_bytes bigint, n_removed bigint, n_spans bigint, spans array<int>>")
     def keep(text: pa.Array, spans: pa.Array) -> pa.Array:
@@ -304,5 +304,5 @@ def suffix_dedup(docs: DataFrame, least: int = 400) -> DataFrame:
             gone.append(np.stack([a, b], 1).ravel().tolist())
         return pa.StructArray.from_arrays([pa.array(out, pa.binary()), *(longs(np.array(c, np.int64)) for c in (total, removed, n)), pa.array(gone, pa.list_(pa.int32()))], names=["kept", "n_bytes", "n_removed", "n_spans", "spans"])
 
-    out = _with_result(docs, key, found, keep(F.col("text"), F.col("_cf_spans")), ["kept", "n_bytes", "n_removed", "n_spans", "spans"], ["_cf_spans"])
+    out = _with_result(docs, key, found, keep, ["kept", "n_bytes", "n_removed", "n_spans", "spans"])
     return out.drop("text")
