@@ -167,6 +167,30 @@ def test_near_duplicates(spark, docs, df):
     assert got == want
 
 
+def test_near_duplicates_rows(spark):
+    """Repeated rows, null ids, empty texts, clashing names, an empty table."""
+    text = "one two three four five six seven eight"
+    schema = "doc_id long, text string, component string, document_key string, _rk string, _group string"
+    rows = [(5, text, *"abcd"), (5, text, *"abcd"), (3, text.upper(), *"abcd"), (None, text, *"abcd"), (7, None, *"abcd"), (8, "", *"abcd"), (9, "other words", *"abcd")]
+    out = sh.near_duplicates(spark.createDataFrame(rows, schema))
+    assert out.columns == ["doc_id", "text", "_rk", "_group", "component", "document_key"] and len(out.collect()) == 7
+    groups = {}
+    for r in out.collect():
+        groups.setdefault(str(r.component), set()).add(r.doc_id)
+    assert sorted(groups.values(), key=lambda g: sorted(map(str, g))) == sorted([{5, 3, None}, {7}, {8}, {9}], key=lambda g: sorted(map(str, g)))
+    assert sh.near_duplicates(spark.createDataFrame([], schema)).count() == 0
+
+
+def test_dedup_clashing_names(spark):
+    """Columns of the names that the joins would use stay as they are."""
+    line = "a line of some thirty characters"
+    rows = [(i, line, "r", "o", "f", "h") for i in range(3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _rk string, _out string, _found string, _hit0 string")
+    for out in (line_dedup(df), sub.substring_dedup(df), suf.suffix_dedup(df), find_benchmark(df, spark.createDataFrame([(1, line)], "item_id long, text string"))):
+        assert {(r["_rk"], r["_out"], r["_found"], r["_hit0"]) for r in out.collect()} == {("r", "o", "f", "h")}
+    assert sorted(r.text for r in line_dedup(df).collect()) == ["", "", line]
+
+
 def test_near_duplicates_long_texts(spark):
     """Texts of several thousand words, some just above and some just below the threshold, and a bucket that is dealt out."""
     r = np.random.default_rng(8)
