@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from confluo.operators.components import connected_components
-from confluo.operators.linkage import cluster
+from confluo.operators.linkage import block_pairs, cluster, name_block_keys, record_keys
 from confluo.plans.cli import main
 from confluo.plans.merge import merge
 from confluo.plans.projection import ConfigError, ProjectionError, load_config, parse_path, project_rows
@@ -15,13 +15,14 @@ from confluo.sources.resume import parse_resumes
 from confluo.storage import materialize
 
 CSV = """title,email,name,phone,current_company
-Senior Backend Engineer,priya.sharma@gmail.com,Priya Sharma,(555) 123-4567,Acme Corp
-Engineer,PRIYA.sharma@gmail.com ,Priya Sharma,+1-555-123-4567,Acme Corporation
-Engineer,,P. Sharma,5551234567,Acme Corporation
-Data Scientist,marcus.lee@example.com,Marcus Lee,(555) 987-6543,Initech
-Data Analyst,m.lee2@example.com,Marcus Lee,555-222-0000,Initech
+Lead Chemist,runa.holmberg@mail.test,Runa Holmberg,+91 98123 45678,Alder Corp
+Chemist,RUNA.holmberg@mail.test ,Runa Holmberg,98123-45678,Alder Corporation
+Chemist,,R. Holmberg,9812345678,Alder Corporation
+Pilot,tarek.moor@mail.test,Tarek Moor,call me,Heron
+Navigator,t.moor9@mail.test,Tarek Moor,,Heron
 """
-RESUME = "Priya Sharma\nEngineering Lead, Systems\nEmail: priya.sharma@gmail.com | Phone: +1 (555) 123.4567 | github.com/priyasharma\n\nSKILLS\npy, JS; Ninjutsu\nEXPERIENCE\nAcme Corporation - Lead\nJan 2019 - Mar 2023\n  Built things.\n\nGlobex Inc - Engineer\n2016 - 2018\nEDUCATION\nB.S. Computer Science, State University, 2016\n"
+RESUME = "Runa Holmberg\nHead of Glazes, Kilns\nMail: runa.holmberg@mail.test or call +91 98123 45678, https://github.com/runah/\n\nSKILLS\nk8s, py; Glassblowing\nEXPERIENCE\nAlder Corporation - Head of Glazes\nFeb 2020 - Apr 2022\n  Fired pots.\n\nIbex LLC - Potter\n2015 - 2017\nEDUCATION\nM.S. Ceramics, Porto Academy, Annex, 2014\n"
+SAID = ("Alder Corporation", "Head of Glazes", "Feb 2020 - Apr 2022"), ("Ibex LLC", "Potter", "2015 - 2017")
 
 
 @pytest.fixture(scope="session")
@@ -40,30 +41,66 @@ def canonical(spark, sample):
 
 def test_resume(spark):
     r = parse_resumes(spark.createDataFrame([(0, RESUME), (1, None), (2, "")], "record_idx long, text string")).orderBy("record_idx").collect()
-    assert r[0].full_name.value == "Priya Sharma" and r[0].headline.value == "Engineering Lead, Systems"
-    assert [p.value for p in r[0].phones] == ["+1 (555) 123.4567"] and r[0].links.github.value == "github.com/priyasharma"
-    assert [s.value for s in r[0].skills] == ["py", "JS", "Ninjutsu"]
-    assert [(e.company.value, e.title.value, e.date_range.value) for e in r[0].experience] == [("Acme Corporation", "Lead", "Jan 2019 - Mar 2023"), ("Globex Inc", "Engineer", "2016 - 2018")]
-    assert (r[0].education[0].degree.value, r[0].education[0].field.value, r[0].education[0].institution.value, r[0].education[0].year.value) == ("B.S.", "Computer Science", "State University", "2016")
+    assert r[0].full_name.value == "Runa Holmberg" and r[0].headline.value == "Head of Glazes, Kilns"
+    assert [p.value for p in r[0].phones] == ["+91 98123 45678"] and r[0].links.github.value == "https://github.com/runah/"
+    assert [s.value for s in r[0].skills] == ["k8s", "py", "Glassblowing"]
+    assert tuple((e.company.value, e.title.value, e.date_range.value) for e in r[0].experience) == SAID
+    study = r[0].education[0]
+    assert (study.degree.value, study.field.value, study.institution.value, study.year.value) == ("M.S.", "Ceramics", "Porto Academy, Annex", "2014")
     assert r[1].full_name is None and r[1].skills == [] and r[2].emails == []
 
 
+def test_resume_many_parts(spark):
+    school = ", ".join(f"part{i}" for i in range(1500))
+    r = parse_resumes(spark.createDataFrame([(0, f"Ann Lee\nEDUCATION\nB.S. Art, {school}, 2001\n")], "record_idx long, text string")).first()
+    assert r.education[0].institution.value == school
+
+
 def test_csv(spark, sample, tmp_path):
-    assert [r.full_name.value for r in read_csv(spark, str(sample / "a.csv")).orderBy("record_idx").collect()] == ["Priya Sharma", "Priya Sharma", "P. Sharma", "Marcus Lee", "Marcus Lee"]
+    assert [r.full_name.value for r in read_csv(spark, str(sample / "a.csv")).orderBy("record_idx").collect()] == ["Runa Holmberg", "Runa Holmberg", "R. Holmberg", "Tarek Moor", "Tarek Moor"]
     (tmp_path / "empty.csv").write_text("")
     assert read_csv(spark, str(tmp_path / "empty.csv")).count() == 0
     assert read_csv(spark, str(tmp_path / "none.csv")).count() == 0
 
 
+def test_csv_headers(spark, tmp_path):
+    """Names with numbers are columns of their own; of repeated names the last one counts."""
+    (tmp_path / "n.csv").write_text("\ufeffphone,phone2,email,name,name,title1\n8492948175,call me,a@b.c,First,Last,x\n1,2\n", encoding="utf-8")
+    r = read_csv(spark, str(tmp_path / "n.csv")).orderBy("record_idx").collect()
+    assert [p.value for p in r[0].phones] == ["8492948175"] and r[0].full_name.value == "Last" and r[0].experience == []
+    assert [p.value for p in r[1].phones] == ["1"] and r[1].full_name is None
+
+
 def test_merge(canonical):
     rows = canonical.orderBy("component").collect()
     assert len(rows) == 3
-    priya = rows[0]
-    assert [e.value for e in priya.emails] == ["priya.sharma@gmail.com"] and priya.phones == []
-    assert [s.name for s in priya.skills] == ["JavaScript", "Python"]
-    assert (priya.experience[0].company, priya.experience[0].title, priya.experience[0].start, priya.experience[0].end) == ("Acme Corporation", "Senior Backend Engineer", "2019-01", None)
-    assert priya.candidate_id.value.startswith("cand_") and len(priya.candidate_id.value) == 21
-    assert [p for p in priya.provenance] == sorted(priya.provenance)
+    runa = rows[0]
+    assert [e.value for e in runa.emails] == ["runa.holmberg@mail.test"] and [p.value for p in runa.phones] == ["+919812345678"]
+    assert [s.name for s in runa.skills] == ["Kubernetes", "Python"]
+    assert (runa.experience[0].company, runa.experience[0].title, runa.experience[0].start, runa.experience[0].end) == ("Alder Corporation", "Lead Chemist", "2020-02", None)
+    assert runa.candidate_id.value.startswith("cand_") and len(runa.candidate_id.value) == 21
+    assert [p for p in runa.provenance] == sorted(runa.provenance)
+    assert all(0 <= r.overall_confidence <= 1 for r in rows)
+
+
+def test_merge_of_shuffled_records(spark, sample, canonical):
+    """Records in another order give the same people; only the order of jobs and studies may differ."""
+    parts = combine(spark, [read_csv(spark, str(sample / "a.csv")), parse_resumes(spark.createDataFrame([(0, RESUME)], "record_idx long, text string"))])
+    turned = merge(materialize(parts.withColumn("record_idx", 100 - F.col("record_idx"))))
+    plain = lambda df: sorted(json.dumps([sorted(v, key=str) if k in ("experience", "education") else v for k, v in r.asDict(True).items() if k != "component"], default=str) for r in df.collect())
+    assert plain(turned) == plain(canonical)
+
+
+def test_cluster_bounds(spark):
+    """Five names, sixty records each with e-mails of their own: none are joined, and pairs stay within their blocks."""
+    names = ["Ilka Stolma", "Nuno Grauski", "Odile Felsova", "Pavel Mooren", "Wanda Quistel"]
+    rows = spark.createDataFrame([(i, names[i % 5], f"user{i}@host{i}.test") for i in range(300)], "i long, name string, email string")
+    found = cluster(materialize(from_rows(rows, F.col("i")))).select("component").distinct().count()
+    assert found == 300
+    pairs = block_pairs(record_keys(from_rows(rows, F.col("i"))).withColumn("lo", F.col("idx")).withColumn("hi", F.col("idx")), name_block_keys()).count()
+    assert pairs == 5 * 60 * 59 // 2
+    shared = rows.where("i < 200").withColumn("email", F.concat(F.lit("team"), (F.col("i") % 4).cast("string"), F.lit("@x.test"))).withColumn("name", F.element_at(F.array(*[F.lit(n) for n in names]), (F.col("i") % 4).cast("int") + 1))
+    assert cluster(materialize(from_rows(shared, F.col("i")))).select("component").distinct().count() == 4
 
 
 def test_merge_of_nothing(spark):
@@ -85,19 +122,19 @@ def test_components(spark):
 
 
 def test_paths():
-    assert parse_path("skills[].name") == [("attr", "skills"), ("map",), ("attr", "name")]
-    assert parse_path("emails[-1]") == [("attr", "emails"), ("index", -1)]
+    assert parse_path("skills[].name") == ["skills", None, "name"]
+    assert parse_path("emails[-1]") == ["emails", -1] and parse_path("..a[0][]x.b c.[2]") == ["a", 0, None, "b", 2] and parse_path("a[1.5]") == ["a"] and parse_path("") == []
     with pytest.raises(ProjectionError):
         parse_path("a[x]")
 
 
 def test_projection(canonical):
-    config = load_config({"fields": [{"path": "name", "from": "full_name"}, {"path": "c.mail", "from": "emails[0]"}, {"path": "skills", "from": "skills[].name", "normalize": "canonical"}, {"path": "phone", "from": "phones[0]"}], "include_confidence": True, "on_missing": "omit"})
+    config = load_config({"fields": [{"path": "name", "from": "full_name"}, {"path": "c.mail", "from": "emails[0]"}, {"path": "skills", "from": "skills[].name", "normalize": "canonical"}, {"path": "phone", "from": "phones[5]"}], "include_confidence": True, "on_missing": "omit"})
     rows = [r for _, r in project_rows(canonical, config)]
     assert all("phone" not in r and list(r)[0] == "name" for r in rows)
-    assert {r["c"]["mail"]["value"] for r in rows} == {"priya.sharma@gmail.com", "marcus.lee@example.com", "m.lee2@example.com"}
+    assert {r["c"]["mail"]["value"] for r in rows} == {"runa.holmberg@mail.test", "tarek.moor@mail.test", "t.moor9@mail.test"}
     with pytest.raises(ProjectionError):
-        list(project_rows(canonical, load_config({"fields": [{"path": "phones[0]", "required": True}]})))
+        list(project_rows(canonical, load_config({"fields": [{"path": "phones[5]", "required": True}]})))
     with pytest.raises(ConfigError):
         load_config({"fields": [], "oops": 1})
 
