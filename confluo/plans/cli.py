@@ -15,7 +15,7 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 from confluo.plans.merge import merge
-from confluo.plans.projection import ProjectionConfig, ProjectionError, load_config, project_rows
+from confluo.plans.projection import ProjectionConfig, ProjectionError, json_lines, load_config, project_rows
 from confluo.plans.validation import validate_projected
 from confluo.sources.combine import combine
 from confluo.sources.recruiter_csv import read_csv
@@ -39,6 +39,7 @@ def build_parser() -> argparse.ArgumentParser:
     p.add_argument("--resume", metavar="PATH", help="plain-text resume")
     p.add_argument("--config", metavar="PATH", help="projection configuration (default: the bundled one)")
     p.add_argument("--out", metavar="PATH", help="write to a file instead of standard output")
+    p.add_argument("--lines", metavar="FOLDER", help="write a folder of JSON lines from the tasks instead: for results too large for one array")
     p.add_argument("--no-validate", dest="validate", action="store_false", help="skip the check of the output against the configuration")
     return p
 
@@ -71,6 +72,10 @@ def run(args: argparse.Namespace, spark: SparkSession | None = None) -> int:
     spark = spark or SparkSession.builder.appName("confluo").getOrCreate()
     partials = combine(spark, [read(spark, p) for p, read in usable])
     canonical = materialize(merge(materialize(partials)))
+    if args.lines is not None:
+        check = (lambda record: validate_projected(record, config)) if args.validate else None
+        json_lines(canonical, config, check).write.text(args.lines)
+        return OK
     results = []
     try:
         for cid, record in project_rows(canonical, config):
