@@ -42,7 +42,7 @@ def canonical(spark, sample):
 def test_resume(spark):
     r = parse_resumes(spark.createDataFrame([(0, RESUME), (1, None), (2, "")], "record_idx long, text string")).orderBy("record_idx").collect()
     assert r[0].full_name.value == "Runa Holmberg" and r[0].headline.value == "Head of Glazes, Kilns"
-    assert [p.value for p in r[0].phones] == ["+91 981 234 5678"] and r[0].links.github.value == "https://github.com/runah/"
+    assert [p.value for p in r[0].phones] == ["+91 981 234 5678"] and r[0].links.github.value == "https://github.com/runah"
     assert [s.value for s in r[0].skills] == ["k8s", "py", "Glassblowing"]
     assert tuple((e.company.value, e.title.value, e.date_range.value) for e in r[0].experience) == SAID
     study = r[0].education[0]
