@@ -365,20 +365,23 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
     first = materialize(marked.groupBy("same").agg(F.min("rk").alias("rk")))
     reps = marked.join(first.select("rk"), "rk", "left_semi").dropDuplicates(["rk"]) if rk != "bigint" else marked.join(first.select("rk"), "rk", "left_semi")
     dealt = materialize(reps.select("rk", "size", F.posexplode("minima").alias("t", "m")).withColumn("bucket", F.xxhash64("t", "m")).drop("t", "m"))
+    # buckets of the same texts, which two sums of hashes of their keys tell, are compared once
+    members = [F.sum(F.xxhash64("rk", F.lit(i)).cast("decimal(38,0)")).alias(f"m{i}") for i in range(2)]
+    buckets = dealt.groupBy("bucket").agg(F.count("*").alias("count"), F.sum("size").alias("total"), *members).where("count > 1")
     parts = F.ceil(F.greatest(F.col("count") / part, 8 * F.col("total") / part_bytes)).cast("int")
-    sizes = materialize(dealt.groupBy("bucket").agg(F.count("*").alias("count"), F.sum("size").alias("total")).where("count > 1").select("bucket", parts.alias("parts")))
+    sizes = materialize(buckets.groupBy("count", "total", "m0", "m1").agg(F.min("bucket").alias("bucket")).select("bucket", parts.alias("parts")))
     own, other = F.pmod(F.xxhash64("rk"), F.col("parts")).cast("int"), F.sequence(F.lit(0), F.col("parts") - 1)
-    split = dealt.join(sizes, "bucket").withColumn("bucket", F.explode(F.transform(other, lambda o: F.xxhash64("bucket", F.least(own, o), F.greatest(own, o)))))
+    split = dealt.join(sizes.hint("merge"), "bucket").withColumn("bucket", F.explode(F.transform(other, lambda o: F.xxhash64("bucket", F.least(own, o), F.greatest(own, o)))))
     split = materialize(split.select("bucket", "rk"))
-    # whole sets are made for the texts of shared buckets only
-    shared = rows.join(split.select("rk").distinct(), "rk", "left_semi")
-    sets = (shared if rk == "bigint" else shared.dropDuplicates(["rk"])).mapInArrow(_whole_sets(shingle), f"rk {rk}, shingles binary")
+    # whole sets are made for the texts of shared buckets only; merge joins at every size, as tables are compressed on disk
+    shared = rows.join(split.select("rk").distinct().hint("merge"), "rk", "left_semi")
+    sets = materialize((shared if rk == "bigint" else shared.dropDuplicates(["rk"])).mapInArrow(_whole_sets(shingle), f"rk {rk}, shingles binary"))
     n = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    links = split.join(sets, "rk").select("bucket", "rk", "shingles").repartition(n, "bucket").sortWithinPartitions("bucket", "rk").mapInArrow(_verified(similarity), f"a {rk}, b {rk}")
+    links = split.join(sets.hint("merge"), "rk").select("bucket", "rk", "shingles").repartition(n, "bucket").sortWithinPartitions("bucket", "rk").mapInArrow(_verified(similarity), f"a {rk}, b {rk}")
     found = connected_components(links, "a", "b")
     groups = first.join(found.withColumnRenamed("node", "rk"), "rk", "left").select("same", F.coalesce("component", "rk").alias("component"))
     rk_, group = free_name(docs, "_rk"), free_name(docs, "_group")
     component = materialize(marked.select("rk", "same").distinct().join(groups, "same").select(F.col("rk").alias(rk_), F.col("component").alias(group)))
-    release(marked, first, dealt, sizes, split)
-    out = docs.withColumn(rk_, key).join(component, rk_, "left")
+    release(marked, first, dealt, sizes, split, sets)
+    out = docs.withColumn(rk_, key).join(component.hint("merge"), rk_, "left")
     return out.select(*[F.col(f"`{c}`") for c in docs.columns if c not in ("component", "document_key")], F.coalesce(group, rk_).alias("component"), F.col(rk_).alias("document_key"))
