@@ -82,6 +82,7 @@ def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every document and a digest of their decoding. For the BPE model these are paths of fewest pieces, not the library's merges."""
     from confluo.llm.sentencepiece_lattice import decode, default_model, encode
 
     model = default_model(spark)
