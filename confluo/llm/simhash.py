@@ -243,8 +243,8 @@ def _shingle_sets(text: pa.Array, shingle: int):
             yield i, np.unique(span_hash(prefix, at, np.minimum(at + shingle, b)))
 
 
-def _marks(shingle: int):
-    """Minima of several hashes (the buckets), and size and digest of the shingle set of each text."""
+def _marks(shingle: int, words: int):
+    """Fingerprint over shingles of ``words`` words, minima of several hashes (the buckets), and size and digest of the shingle set of each text."""
 
     def run(batches):
         for batch in slices(batches, limit=1 << 19):
@@ -255,7 +255,8 @@ def _marks(shingle: int):
                 sizes.append(len(h))
                 same.append(hashlib.blake2b(h.tobytes(), digest_size=16).digest())
             take = pa.array(rows, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("rk").take(take), pa.array(buckets, pa.list_(pa.int64())), pa.array(sizes, pa.int32()), pa.array(same, pa.binary())], names=["rk", "minima", "size", "same"])
+            fp = longs(fingerprints(batch.column("text"), words)).take(take)
+            yield pa.RecordBatch.from_arrays([batch.column("rk").take(take), fp, pa.array(buckets, pa.list_(pa.int64())), pa.array(sizes, pa.int32()), pa.array(same, pa.binary())], names=["rk", "fp", "minima", "size", "same"])
 
     return run
 
@@ -347,7 +348,19 @@ def _verified(similarity: float):
     return run
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, part: int = 4096, part_bytes: int = 8 << 20) -> DataFrame:
+def _fingerprint_links(marked: DataFrame, first: DataFrame, radius: int) -> DataFrame:
+    """Links ``a, b`` between the texts of ``first`` that join all whose fingerprints, or those of texts of an equal set, differ in ``radius`` bits or fewer."""
+    prints = materialize(marked.select("same", "fp").distinct().join(first, "same").select("rk", "fp"))
+    by = materialize(prints.groupBy("fp").agg(F.min("rk").alias("low")))
+    close = near_links(by.select("fp"), radius)
+    ends = [by.select(F.col("fp").alias(x), F.col("low").alias(f"low_{x}")) for x in "ab"]
+    close = close.join(ends[0], "a").join(ends[1], "b").select(F.col("low_a").alias("a"), F.col("low_b").alias("b"))
+    out = materialize(close.unionByName(prints.join(by, "fp").where("rk <> low").select(F.col("rk").alias("a"), F.col("low").alias("b"))))
+    release(prints, by)
+    return out
+
+
+def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, part: int = 4096, part_bytes: int = 8 << 20, radius: int | None = None, words: int = 3) -> DataFrame:
     """The columns of docs with ``component``: the key of the first document of its group of near duplicates.
 
     docs: ``doc_id, text`` and any other columns. Two texts are near duplicates where the Jaccard similarity of their word shingles (A-Z in
@@ -356,12 +369,15 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
     buckets only. A pair at the threshold shares none of the six with a chance of 0.2^6. Texts of equal sets are compared once. Buckets of over
     ``part`` texts or ``part_bytes`` of hashes are dealt out by pairs of their parts.
 
+    radius: texts whose fingerprints (``simhash`` of ``words``-word shingles) differ in this many bits or fewer are near duplicates too, as in
+    ``simhash_dedup``: all pairs of distinct fingerprints are found by ``near_links``. None: fingerprints link nothing.
+
     Texts without words are their own group each. The key is doc_id where it is unique and not null, else (doc_id, hash of the text). Columns named component or document_key are replaced.
     """
     key = document_key(docs)
     rows = docs.select(key.alias("rk"), F.coalesce("text", F.lit("")).alias("text"))
     rk = rows.schema["rk"].dataType.simpleString()
-    marked = materialize(rows.mapInArrow(_marks(shingle), f"rk {rk}, minima array<long>, size int, same binary"))
+    marked = materialize(rows.mapInArrow(_marks(shingle, words), f"rk {rk}, fp long, minima array<long>, size int, same binary"))
     first = materialize(marked.groupBy("same").agg(F.min("rk").alias("rk")))
     reps = marked.join(first.select("rk"), "rk", "left_semi").dropDuplicates(["rk"]) if rk != "bigint" else marked.join(first.select("rk"), "rk", "left_semi")
     dealt = materialize(reps.select("rk", "size", F.posexplode("minima").alias("t", "m")).withColumn("bucket", F.xxhash64("t", "m")).drop("t", "m"))
@@ -378,7 +394,12 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
     sets = materialize((shared if rk == "bigint" else shared.dropDuplicates(["rk"])).mapInArrow(_whole_sets(shingle), f"rk {rk}, shingles binary"))
     n = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     links = split.join(sets.hint("merge"), "rk").select("bucket", "rk", "shingles").repartition(n, "bucket").sortWithinPartitions("bucket", "rk").mapInArrow(_verified(similarity), f"a {rk}, b {rk}")
+    if radius is not None:
+        alike = _fingerprint_links(marked, first, radius)
+        links = links.unionByName(alike)
     found = connected_components(links, "a", "b")
+    if radius is not None:
+        release(alike)
     groups = first.join(found.withColumnRenamed("node", "rk"), "rk", "left").select("same", F.coalesce("component", "rk").alias("component"))
     rk_, group = free_name(docs, "_rk"), free_name(docs, "_group")
     component = materialize(marked.select("rk", "same").distinct().join(groups, "same").select(F.col("rk").alias(rk_), F.col("component").alias(group)))

@@ -50,3 +50,26 @@ def test_pipeline(spark, tmp_path):
 def test_pipeline_of_nothing(spark, tmp_path):
     write(spark, tmp_path, [], [], [])
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_near_copies_by_fingerprint(spark):
+    """Texts whose fingerprints are within 3 bits go, copies and chains included, whatever part of their five-word shingles they share; repeats, and texts without words, stay."""
+    r = random.Random(5)
+    docs = {}
+    for g in range(8):
+        passage = " ".join(f"g{g}p{x}" for x in range(20))
+        for k in range(5):  # a common passage a hundred times, and as many words again that differ as keep the sets far apart
+            docs[10 * g + k] = " ".join([*(f"g{g}k{k}w{r.randint(0, 999)}" for _ in range(60)), *[passage] * 100])
+        docs[10 * g + 5] = docs[10 * g + 3]
+    docs |= {100: "", 101: None, 102: "one", 103: "two words"}
+    fp, _ = h.simhash(docs)
+    sets = {i: {tuple(w[j : j + 5]) for j in range(max(len(w) - 4, 1))} if (w := (t or "").split()) else set() for i, t in docs.items()}
+    alike = lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])
+    near = lambda a, b: bool(sets[a] and sets[b]) and ((fp[a] ^ fp[b]).bit_count() <= 3 or alike(a, b))
+    assert any(near(a, b) and not alike(a, b) for a in docs for b in docs)
+    group = h.components(docs, near)
+    rows = [(i, t, "en", "s", None if t is None else len(t)) for i, t in docs.items()]
+    for more in ([], [x for x in rows if x[0] in (0, 3, 102)]):
+        got = corpus_pipeline.near_copies(spark, spark.createDataFrame(rows + more, COLUMNS).repartition(3), "").collect()
+        want = [i for i in [*docs, *(x[0] for x in more)] if group[i] == i]
+        assert sorted(x.doc_id for x in got) == sorted(want)
