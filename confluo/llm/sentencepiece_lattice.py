@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from confluo.llm._base import document_key, prefix_hash, slices, span_hash
+from confluo.llm._base import document_key, give_back, prefix_hash, slices, span_hash
 from confluo.storage import materialize
 
 MARK = "▁"
@@ -202,8 +202,11 @@ def _pack(pieces: list[str], part_bytes: int):
             part = pa.scalar(int.from_bytes(hashlib.blake2b(repr(keys.to_pylist()).encode(), digest_size=8).digest(), "little", signed=True), pa.int64())
             kind = pa.list_(keys.type)
             head = pa.ListArray.from_arrays(pa.array([0, len(keys)], pa.int32()), keys).cast(kind)
+            body = pa.array([_planes(flat)], pa.binary())
+            del flat, order
+            give_back()
             yield pa.RecordBatch.from_arrays(
-                [pa.repeat(part, 1), pa.array([-1], pa.int32()), pa.nulls(1, pa.string()), head, pa.array([_planes(flat)], pa.binary()), pa.array([_planes(np.concatenate(counts))], pa.binary())],
+                [pa.repeat(part, 1), pa.array([-1], pa.int32()), pa.nulls(1, pa.string()), head, body, pa.array([_planes(np.concatenate(counts))], pa.binary())],
                 names=["part", "place", "unit", "names", "body", "counts"],
             )
             units = sorted(numbers)
@@ -224,8 +227,11 @@ def _pack(pieces: list[str], part_bytes: int):
                 if held >= part_bytes:
                     yield from flush()
                     numbers, names, seq, counts, held = {}, [], bytearray(), [], 0
+            give_back()
         if names:
             yield from flush()
+        numbers, names, seq, counts = {}, [], bytearray(), []
+        give_back()
 
     return run
 
@@ -259,6 +265,8 @@ def _gather():
                 held.append((places[a:b], np.diff(some.offsets.to_numpy()).astype(np.int64), some.flatten().to_numpy()))
         if held:
             yield out()
+        held = []
+        give_back()
 
     return run
 
@@ -310,6 +318,8 @@ def _assemble(zero: int):
                     ids, sizes = spelled(ids, sizes.astype(np.int64))
                     replies.append((np.cumsum(_from_planes(answer["places"].as_py())), sizes, ids))
                 yield from out(names.values, _from_planes(body.as_py()), _from_planes(counts.as_py()), replies)
+                replies = []
+                give_back()
 
     return run
 
@@ -377,7 +387,10 @@ def decode(ids: Column, model_file: str) -> Column:
                 text = raw[ends[at] : ends[at + length]]
                 out.append((text[1:] if text[:1] == b" " else text).decode("utf-8", "replace"))
                 at += length
-        return pa.array(out, pa.string())
+        made = pa.array(out, pa.string())
+        del out
+        give_back()
+        return made
 
     return run(ids)
 

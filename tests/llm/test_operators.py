@@ -1,6 +1,9 @@
 import math
 import random
+import subprocess
+import sys
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -439,3 +442,31 @@ def test_sentencepiece_long_words(spark):
     blob, prose = (lambda a, n: "".join(r.choice(list(a), n)))("ABCdefghinrst0123+/", 6000), (lambda a, n: "".join(r.choice(list(a), n)))("中国人民的是一不了在有我他这上们来到时大", 4000)
     texts = [blob, f"see  {prose} and {blob[:1100]}\n{prose[:2000]}", " " * 3000 + "x", "the" * 1500, *("y" * n for n in (1022, 1023, 1024, 1025))]
     assert encoded(spark, texts) == [whole_path(t) for t in texts]
+
+
+def test_sentencepiece_workers_return_memory():
+    """A worker that packs holds what its part needs, and not what it has freed: it shares an executor with the JVM and other workers."""
+    code = """
+import random, re, sys
+import pyarrow as pa
+import confluo.llm.sentencepiece_lattice as sp
+
+def held():
+    return sum(map(int, re.findall(r"\\nPss_(?:Anon|Shmem):\\s+(\\d+)", open("/proc/self/smaps_rollup").read()))) / 1024
+
+r = random.Random(1)
+words = ["".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=9)) for _ in range(60000)]
+
+def texts():
+    for i in range(8):
+        yield pa.RecordBatch.from_arrays([pa.array(range(i * 200, i * 200 + 200)), pa.array([" ".join(r.choices(words, k=1000)) for _ in range(200)])], names=["rk", "text"])
+
+pieces = [p for p, _, _ in sp.piece_table(sys.argv[1])[0]]
+before = held()
+for out in sp._pack(pieces, 32 << 20)(texts()):
+    print(held() - before)
+    break
+"""
+    out = subprocess.run([sys.executable, "-c", code, MODEL], capture_output=True, text=True, timeout=300, cwd=Path(__file__).resolve().parents[2])
+    assert not out.returncode, out.stderr
+    assert float(out.stdout) < 80
