@@ -19,6 +19,8 @@ CLASSES = HEADS + TAILS
 ROWS = 1 << 14  # row numbers fit in 16 bits
 #: Changes that one task sums in each step.
 FAN = 8
+#: Tokens whose logits are held at once: they stay in the processor's cache.
+BLOCK = 2048
 _LOW = np.uint64(63)
 _END, _START = np.uint64(0x5EED << 6), np.uint64(0xB0A7 << 6)
 _C = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
@@ -134,57 +136,65 @@ class Model:
         return np.where(head, rank // SIDE, HEADS + (t & _LOW).astype(np.int64) % TAILS), np.where(head, rank % SIDE, -1), np.where(found, self.hot_count[i], -1)
 
     def features(self, t: np.ndarray, off: np.ndarray) -> np.ndarray:
-        """Hashes of each token's contexts: the token before, the two before, and the second before alone (a skip)."""
+        """Hashes of each token's contexts, one row for each kind: the token before, the two before, and the second before alone (a skip)."""
         p1, p2 = np.append(_START, t[:-1]), np.append([_START, _START], t[:-2])[: len(t)]
         first = off[:-1][off[:-1] < off[1:]]
         p1[first] = _START
         second = np.concatenate([first, first[first + 1 < len(t)] + 1])
         p2[second] = _START
-        return np.stack([mix(p1 * _C[0]), mix(p1 * _C[1] + p2 * _C[2]), mix(p2 * _C[3] + np.uint64(1))], 1)
+        return np.stack([mix(p1 * _C[0]), mix(p1 * _C[1] + p2 * _C[2]), mix(p2 * _C[3] + np.uint64(1))])
 
 
-def _softmax(z: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Shifted logits, their exponentials, and the sums of these."""
-    z -= z.max(axis=1, keepdims=True)
-    e = np.exp(z)
-    return z, e, e.sum(axis=1)
-
-
-def _forward(model: Model, h: np.ndarray, c: np.ndarray, place: np.ndarray):
-    """Softmax over the classes, and for head tokens over the places in their class; the rows of weights used."""
-    r1 = (h % np.uint64(ROWS)).astype(np.int64)
-    z1 = model.w1[r1[:, 0]] + model.prior
-    for j in range(1, h.shape[1]):
-        z1 += model.w1[r1[:, j]]
+def _rows(h: np.ndarray, c: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The rows of weights that each token's contexts use; which are head tokens, and the rows of these in the second table."""
     head = np.flatnonzero(place >= 0)
-    r2 = (mix(h[head] + (c[head].astype(np.uint64) + np.uint64(1))[:, None] * _C[2]) % np.uint64(ROWS)).astype(np.int64)
-    z2 = model.inner[c[head]]
-    for j in range(h.shape[1]):
-        z2 += model.w2[r2[:, j]]
-    return _softmax(z1), r1, head, _softmax(z2), r2
-
-
-def _errors(soft: tuple, own: np.ndarray) -> np.ndarray:
-    """Gradient of the negative log probability by the logits."""
-    _, e, total = soft
-    e /= total[:, None]
-    e[np.arange(len(e)), own] -= 1
-    return e
-
-
-def _log_own(soft: tuple, own: np.ndarray) -> np.ndarray:
-    z, _, total = soft
-    return (z[np.arange(len(z)), own] - np.log(total)).astype(np.float64)
-
-
-def _descend(w: np.ndarray, g2: np.ndarray, rows: np.ndarray, err: np.ndarray, rate: float) -> None:
-    """AdaGrad on the rows of one minibatch; the gradient is summed by row first, over all contexts at once."""
-    flat = rows.ravel()
-    order = np.argsort(flat.astype(np.uint16), kind="stable")
-    r = flat[order]
-    cut = np.flatnonzero(np.append(True, r[1:] != r[:-1]))
-    g = np.add.reduceat(err[order // rows.shape[1]], cut, axis=0)
-    at = r[cut]
+    r2 = mix(h[:, head] + (c[head].astype(np.uint64) + np.uint64(1)) * _C[2]) % np.uint64(ROWS)
+    return (h % np.uint64(ROWS)).astype(np.int64), head, r2.astype(np.int64)
+
+
+def _softmax(w: np.ndarray, rows: np.ndarray, base: np.ndarray):
+    """For each block of tokens: its slice, and with one row for each outcome the shifted logits, their exponentials, and the sums of these."""
+    for i in range(0, rows.shape[1], BLOCK):
+        s = slice(i, i + BLOCK)
+        x = w.take(rows[0, s], 0)
+        for r in rows[1:, s]:
+            x += w.take(r, 0)
+        x += base if base.ndim == 1 else base[s]
+        z = np.ascontiguousarray(x.T)
+        z -= z.max(axis=0)
+        e = np.exp(z)
+        yield s, z, e, e.sum(axis=0)
+
+
+def _errors(w: np.ndarray, rows: np.ndarray, base: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """Gradient of the negative log probability by the logits, one row for each outcome."""
+    err = np.empty((w.shape[1], rows.shape[1]), np.float32)
+    for s, _, e, total in _softmax(w, rows, base):
+        np.divide(e, total, out=err[:, s])
+    err[own, np.arange(len(own))] -= 1
+    return err
+
+
+def _log_own(w: np.ndarray, rows: np.ndarray, base: np.ndarray, own: np.ndarray) -> np.ndarray:
+    out = np.empty(len(own))
+    for s, z, _, total in _softmax(w, rows, base):
+        out[s] = z[own[s], np.arange(z.shape[1])] - np.log(total)
+    return out
+
+
+def _descend(w: np.ndarray, g2: np.ndarray, used: np.ndarray, rows: np.ndarray, err: np.ndarray, rate: float) -> None:
+    """AdaGrad on the rows of one minibatch; the gradient is summed by row first, over all contexts. used counts the contexts of each row."""
+    n = np.bincount(rows.ravel(), minlength=ROWS)
+    used += n
+    at = np.flatnonzero(n)
+    number = np.zeros(ROWS, np.int64)
+    number[at] = np.arange(len(at))
+    rows = number[rows]
+    g = np.empty((len(err), len(at)), np.float32)
+    for k in range(len(err)):
+        e = err[k].astype(np.float64)
+        g[k] = sum(np.bincount(r, e, len(at)) for r in rows)
+    g = np.ascontiguousarray(g.T)
     g2[at] += g * g
     w[at] -= rate * g / np.sqrt(10 + g2[at])
 
@@ -202,12 +212,10 @@ def _train(model: Model, rate: float, minibatch: int, groups: int):
             h = m.features(t, off)
             for i in range(0, len(t), minibatch):
                 part = slice(i, i + minibatch)
-                soft, r1, head, inner, r2 = _forward(m, h[part], c[part], place[part])
-                _descend(m.w1, g1, r1, _errors(soft, c[part]), rate)
-                n1 += np.bincount(r1.ravel(), minlength=ROWS)
+                r1, head, r2 = _rows(h[:, part], c[part], place[part])
+                _descend(m.w1, g1, n1, r1, _errors(m.w1, r1, m.prior, c[part]), rate)
                 if len(head):
-                    n2 += np.bincount(r2.ravel(), minlength=ROWS)
-                    _descend(m.w2, g2, r2, _errors(inner, place[part][head]), rate)
+                    _descend(m.w2, g2, n2, r2, _errors(m.w2, r2, m.inner[c[part][head]], place[part][head]), rate)
             seen += len(t)
         if seen:
             change = np.concatenate([((m.w1 - model.w1) * n1[:, None]).ravel(), ((m.w2 - model.w2) * n2[:, None]).ravel(), n1, n2])
@@ -287,66 +295,64 @@ def train_lm(texts: DataFrame, hot: int = 4096, rounds: int = 2, rate: float = 0
     return model, counted
 
 
-def _score(model: Model, minibatch: int):
-    """What the model alone gives of each text: all but the counts of its rarer tokens."""
-
-    def run(batches):
-        for batch in slices(batches):
-            t, off = tokens(batch.column("text"))
-            c, place, count = model.classify(t)
-            h = model.features(t, off)
-            lp = np.empty(len(t))
-            for i in range(0, len(t), minibatch):
-                part = slice(i, i + minibatch)
-                soft, _, head, inner, _ = _forward(model, h[part], c[part], place[part])
-                own = _log_own(soft, c[part])
-                own[head] += _log_own(inner, place[part][head])
-                lp[part] = own
-            lp /= np.log(10)
-            tail = place < 0
-            lp[tail] -= model.tail_norm[c[tail] - HEADS]
-            known = np.where(count >= 0, np.log10(np.maximum(count, 0) + 1.0), 0.0)
-            sums = [np.add.reduceat(x, off[:-1]) if len(off) > 1 else np.zeros(0) for x in (lp + np.where(tail, known, 0.0), known, (count >= 0).astype(np.int64))]
-            yield pa.RecordBatch.from_arrays([batch.column("rk"), pa.array(np.diff(off)), pa.array(sums[0]), pa.array(sums[1]), pa.array(sums[2])], names=["rk", "n_tokens", "score", "counts", "known"])
-
-    return run
-
-
-def _ask(model: Model, buckets: int, flush: int = 4_000_000):
-    """For each bucket, the rarer tokens of many texts: (token, text) pairs with their counts, packed."""
+def _local(model: Model, t: np.ndarray, off: np.ndarray, minibatch: int) -> tuple[np.ndarray, np.ndarray]:
+    """What the model alone gives: for each text its tokens, their log10 probability, and the log10 counts and number of known ones, all but the counts of its rarer tokens. Which tokens are rarer."""
+    c, place, count = model.classify(t)
+    h = model.features(t, off)
+    lp = np.empty(len(t))
+    for i in range(0, len(t), minibatch):
+        part = slice(i, i + minibatch)
+        r1, head, r2 = _rows(h[:, part], c[part], place[part])
+        own = _log_own(model.w1, r1, model.prior, c[part])
+        own[head] += _log_own(model.w2, r2, model.inner[c[part][head]], place[part][head])
+        lp[part] = own
+    lp /= np.log(10)
+    tail = place < 0
+    lp[tail] -= model.tail_norm[c[tail] - HEADS]
+    known = np.where(count >= 0, np.log10(np.maximum(count, 0) + 1.0), 0.0)
+    sums = [np.add.reduceat(x, off[:-1]) if len(off) > 1 else np.zeros(0) for x in (lp + np.where(tail, known, 0.0), known, (count >= 0).astype(np.float64))]
+    return np.stack([np.diff(off).astype(np.float64), *sums]), count < 0
+
+
+def _ask(model: Model, minibatch: int, buckets: int, flush: int = 4_000_000):
+    """For each bucket, the rarer tokens of many texts: (token, text) pairs with their counts, packed. One bucket's row also takes along the texts' keys and what the model alone gives."""
 
     def run(batches):
-        pairs, keys, held, base = [], [], 0, 0
+        pairs, keys, local, held, base = [], [], [], 0, 0
 
         def out():
             rk = pa.concat_arrays(keys)
             part = int.from_bytes(hashlib.blake2b(repr(rk.to_pylist()).encode(), digest_size=8).digest(), "little", signed=True)
+            home = part % buckets
             t, d, n = (np.concatenate(x) for x in zip(*pairs, strict=True))
             b = (mix(t.copy()) % np.uint64(buckets)).astype(np.int64)
             order = np.argsort(b, kind="stable")
             cut = np.searchsorted(b[order], np.arange(buckets + 1))
-            rows = [(i, order[cut[i] : cut[i + 1]]) for i in range(buckets) if cut[i] < cut[i + 1] or i == 0]
-            names = pa.array([rk.to_pylist() if i == 0 else None for i, _ in rows], pa.list_(rk.type))
+            rows = [(i, order[cut[i] : cut[i + 1]]) for i in range(buckets) if cut[i] < cut[i + 1] or i == home]
+            names = pa.array([rk.to_pylist() if i == home else None for i, _ in rows], pa.list_(rk.type))
+            given = pa.array([_blob(np.concatenate(local, axis=1)) if i == home else None for i, _ in rows], pa.binary())
             return pa.RecordBatch.from_arrays(
-                [pa.array([i for i, _ in rows], pa.int32()), pa.array([1] * len(rows), pa.int32()), pa.array([part] * len(rows), pa.int64()), names, pa.array([_blob(t[p]) for _, p in rows], pa.binary()), pa.array([_blob(d[p].astype(np.int32)) for _, p in rows], pa.binary()), pa.array([_blob(n[p].astype(np.int32)) for _, p in rows], pa.binary()), pa.array([len(rk)] * len(rows), pa.int32())],
-                names=["bucket", "kind", "part", "names", "ids", "docs", "counts", "size"],
+                [pa.array([i for i, _ in rows], pa.int32()), pa.array([1] * len(rows), pa.int32()), pa.array([part] * len(rows), pa.int64()), names, given, pa.array([_blob(t[p]) for _, p in rows], pa.binary()), pa.array([_blob(d[p].astype(np.int32)) for _, p in rows], pa.binary()), pa.array([_blob(n[p].astype(np.int32)) for _, p in rows], pa.binary()), pa.array([len(rk)] * len(rows), pa.int32())],
+                names=["bucket", "kind", "part", "names", "local", "ids", "docs", "counts", "size"],
             )
 
         for batch in slices(batches):
             t, off = tokens(batch.column("text"))
+            given, rare = _local(model, t, off, minibatch)
             doc = np.repeat(np.arange(len(off) - 1), np.diff(off))
-            rare = model.classify(t)[2] < 0
             t, doc = t[rare], doc[rare]
-            order = np.lexsort((t, doc))
-            t, doc = t[order], doc[order]
+            cut = np.searchsorted(doc, np.arange(len(off)))
+            for i, j in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+                t[i:j].sort()
             first = np.flatnonzero(np.append(True, (t[1:] != t[:-1]) | (doc[1:] != doc[:-1]))) if len(t) else np.zeros(0, np.int64)
             pairs.append((t[first], doc[first] + base, np.diff(np.append(first, len(t)))))
             keys.append(batch.column("rk"))
+            local.append(given)
             base += len(batch)
             held += len(first)
             if held > flush:
                 yield out()
-                pairs, keys, held, base = [], [], 0, 0
+                pairs, keys, local, held, base = [], [], [], 0, 0
         if base:
             yield out()
 
@@ -370,17 +376,18 @@ def _answer(batches):
                 found = ids[i] == t
                 value = np.where(found, logs[i], 0.0)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([row["part"]], pa.int64()), pa.array([row["bucket"]], pa.int32()), pa.array([row["names"]], batch.schema.field("names").type), pa.array([_blob(np.bincount(d, weights=value * n, minlength=row["size"]))], pa.binary()), pa.array([_blob(np.bincount(d, weights=found * n, minlength=row["size"]).astype(np.int32))], pa.binary())],
-                names=["part", "bucket", "names", "logs", "known"],
+                [pa.array([row["part"]], pa.int64()), pa.array([row["bucket"]], pa.int32()), pa.array([row["names"]], batch.schema.field("names").type), pa.array([row["local"]], pa.binary()), pa.array([_blob(np.bincount(d, weights=value * n, minlength=row["size"]))], pa.binary()), pa.array([_blob(np.bincount(d, weights=found * n, minlength=row["size"]).astype(np.int32))], pa.binary())],
+                names=["part", "bucket", "names", "local", "logs", "known"],
             )
 
 
 def _gather(batches):
-    """Rows come sorted by part and bucket: the sums over all buckets, one row for each text."""
-    part, names, logs, known, kind = None, None, 0, 0, None
+    """Rows come sorted by part and bucket: the sums over all buckets beside what the model alone gives, one row for each text."""
+    part, names, local, logs, known, kind = None, None, None, 0, 0, None
 
     def out():
-        return pa.RecordBatch.from_arrays([pa.array(names, kind.value_type), pa.array(logs), pa.array(known.astype(np.int64))], names=["rk", "logs", "rare_known"])
+        n, score, counts, mine = local
+        return pa.RecordBatch.from_arrays([pa.array(names, kind.value_type), pa.array(n.astype(np.int64)), pa.array((mine + known).astype(np.int64)), pa.array(counts + logs), pa.array(score + logs)], names=["rk", "n_tokens", "n_known", "counts", "score"])
 
     for batch in batches:
         kind = batch.schema.field("names").type
@@ -390,7 +397,7 @@ def _gather(batches):
                     yield out()
                 part, logs, known = row["part"], 0, 0
             if row["names"] is not None:
-                names = row["names"]
+                names, local = row["names"], np.frombuffer(row["local"]).reshape(4, -1)
             logs = logs + np.frombuffer(row["logs"], np.float64)
             known = known + np.frombuffer(row["known"], np.int32)
     if part is not None:
@@ -406,7 +413,7 @@ def lm_score(docs: DataFrame, learn: Column, minibatch: int = 65536, rounds: int
     two before, the one before that, and their classes.
 
     Both need the counts of rare tokens, which are too many to send around: tokens of each text are packed by bucket and meet the counts of
-    their bucket. Tokens of the ``hot`` most frequent are scored where they are, so no bucket holds a token of more than a small share of
+    their bucket, and what the model alone gives of a text goes along. Tokens of the ``hot`` most frequent are scored where they are, so no bucket holds a token of more than a small share of
     the corpus.
 
     Null texts count as empty (one token, the end). Null values of learn count as false. Repeated rows each get their result; null
@@ -418,20 +425,18 @@ def lm_score(docs: DataFrame, learn: Column, minibatch: int = 65536, rounds: int
     model, counted = train_lm(rows.where("learn").select("text"), rounds=rounds)
     buckets = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     texts = rows.select("rk", "text") if rk == "bigint" else rows.select("rk", "text").dropDuplicates(["rk"])
-    asked = texts.mapInArrow(_ask(model, buckets), f"bucket int, kind int, part long, names array<{rk}>, ids binary, docs binary, counts binary, size int")
-    counts = counted.select("bucket", F.lit(0).alias("kind"), F.lit(0).cast("long").alias("part"), F.lit(None).cast(f"array<{rk}>").alias("names"), "ids", F.lit(None).cast("binary").alias("docs"), "counts", F.lit(0).alias("size"))
-    answers = asked.unionByName(counts).repartition(buckets, "bucket").sortWithinPartitions("bucket", "kind", "part").mapInArrow(_answer, f"part long, bucket int, names array<{rk}>, logs binary, known binary")
-    rare = answers.repartition(buckets, "part").sortWithinPartitions("part", "bucket").mapInArrow(_gather, f"rk {rk}, logs double, rare_known long")
-    local = texts.mapInArrow(_score(model, minibatch), f"rk {rk}, n_tokens long, score double, counts double, known long")
+    asked = texts.mapInArrow(_ask(model, minibatch, buckets), f"bucket int, kind int, part long, names array<{rk}>, local binary, ids binary, docs binary, counts binary, size int")
+    counts = counted.select("bucket", F.lit(0).alias("kind"), F.lit(0).cast("long").alias("part"), F.lit(None).cast(f"array<{rk}>").alias("names"), F.lit(None).cast("binary").alias("local"), "ids", F.lit(None).cast("binary").alias("docs"), "counts", F.lit(0).alias("size"))
+    answers = asked.unionByName(counts).repartition(buckets, "bucket").sortWithinPartitions("bucket", "kind", "part").mapInArrow(_answer, f"part long, bucket int, names array<{rk}>, local binary, logs binary, known binary")
+    both = answers.repartition(buckets, "part").sortWithinPartitions("part", "bucket").mapInArrow(_gather, f"rk {rk}, n_tokens long, n_known long, counts double, score double")
     norm = float(np.log10(model.n + model.v + 1.0))
-    both = local.join(rare, "rk")
     if rk != "bigint":
         both = docs.select(key.alias("rk"), "doc_id").join(both, "rk")
     return both.select(
         (F.col("rk") if rk == "bigint" else F.col("doc_id")).alias("doc_id"),
         "n_tokens",
-        (F.col("known") + F.col("rare_known")).alias("n_known"),
+        "n_known",
         F.lit(int(model.n)).cast("long").alias("train_tokens"),
-        (F.col("counts") + F.col("logs") - F.col("n_tokens") * F.lit(norm)).alias("base_score"),
-        (F.col("score") + F.col("logs")).alias("score"),
+        (F.col("counts") - F.col("n_tokens") * F.lit(norm)).alias("base_score"),
+        "score",
     )

@@ -1,3 +1,4 @@
+import collections
 import math
 import random
 import subprocess
@@ -6,10 +7,12 @@ import zlib
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import sentencepiece
 from pyspark.sql import functions as F
 
+from confluo.llm import language_model as lm
 from confluo.llm import sentencepiece_lattice as sp
 from confluo.llm import simhash as sh
 from confluo.llm import substring_dedup as sub
@@ -302,6 +305,60 @@ def test_language_model(spark, docs, df):
     assert all(r.train_tokens == 0 and r.n_known == 0 for r in nothing)
 
 
+def test_language_model_one_pass(spark):
+    """Texts are read once for scores and rare tokens, which no join brings together; repeated rows, null ids and ids with two texts too."""
+    rows = [(1, "a b a"), (2, None), (3, "c \u00e9 a"), (4, "")]
+    out = lm_score(spark.createDataFrame(rows, "doc_id long, text string"), F.lit(True))
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and plan.count("MapInArrow") == 3
+    rows += [(1, "a b a"), (3, "b"), (None, "c"), (None, "c"), (5, "a q")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r.doc_id or 0, r.n_tokens, r.n_known, round(r.base_score, 9)) for r in lm_score(frame, F.coalesce("doc_id", F.lit(0)) < 5).collect())
+    toks = [(i or 0, (t or "").split() + [None]) for i, t in rows]
+    counts = collections.Counter(x for i, t in toks if i < 5 for x in t)
+    total = sum(counts.values()) + len(counts) + 1
+    assert got == sorted((i, len(t), sum(x in counts for x in t), round(sum(math.log10((counts[x] + 1) / total) for x in t), 9)) for i, t in toks)
+    assert lm_score(frame.limit(0), F.lit(True)).collect() == []
+
+
+@np.errstate(over="ignore")
+def test_language_model_step():
+    """One minibatch's change against plain loops: softmax errors summed by row of weights, then AdaGrad."""
+    r = np.random.default_rng(8)
+    texts = [" ".join(f"w{x}" for x in r.integers(0, 400, 3000)), "w1 w2", ""]
+    t, off = lm.tokens(pa.array(texts))
+    ids, n = np.unique(t, return_counts=True)
+    weights = [r.normal(0, 0.1, (lm.ROWS, k)).astype(np.float32) for k in (lm.CLASSES, lm.SIDE)]
+    model = lm.Model(len(t), len(ids), ids, n, np.argsort(np.argsort(-n)), np.zeros(lm.TAILS), r.normal(0, 1, lm.CLASSES).astype(np.float32), r.normal(0, 1, (lm.HEADS, lm.SIDE)).astype(np.float32), *weights)
+    c, place, _ = model.classify(t)
+    grads = [{}, {}]
+    for i, x in enumerate(t):
+        at = max(s for s in off[:-1] if s <= i)
+        p1, p2 = (t[i - k] if i - k >= at else lm._START for k in (1, 2))
+        ctx = lm.mix(np.array([p1 * lm._C[0], p1 * lm._C[1] + p2 * lm._C[2], p2 * lm._C[3] + np.uint64(1)]))
+        inner = lm.mix(ctx + np.uint64(c[i] + 1) * lm._C[2])
+        for grad, w, base, h_, own in ((grads[0], weights[0], model.prior, ctx, c[i]), (grads[1], weights[1], model.inner[c[i] % lm.HEADS], inner, place[i])):
+            if own >= 0:
+                at_rows = [int(x) % lm.ROWS for x in h_]
+                e = np.exp(base + sum(w[j].astype(float) for j in at_rows))
+                e /= e.sum()
+                e[own] -= 1
+                for j in at_rows:
+                    grad.setdefault(j, []).append(e)
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"])
+    [out] = lm._train(model, 0.3, 1 << 16, 1)([batch])
+    change = np.frombuffer(out.column("change")[0].as_py(), np.float32)
+    sizes = np.cumsum([w.size for w in weights])
+    used = change[sizes[1] :].reshape(2, lm.ROWS)
+    for grad, n_used, got in zip(grads, used, np.split(change[: sizes[1]], sizes[:1]), strict=True):
+        want = np.zeros((lm.ROWS, got.size // lm.ROWS))
+        for j, es in grad.items():
+            g = np.sum(es, 0)
+            want[j] = -0.3 * g / np.sqrt(10 + g * g) * len(es)
+        assert [len(grad.get(j, [])) for j in range(lm.ROWS)] == n_used.tolist()
+        assert np.allclose(got.reshape(want.shape), want, rtol=1e-3, atol=1e-4)
+
+
 def test_language_model_held_out_gain(spark):
     """Contexts tell the next word of each group; groups lie in partitions of their own, few or many."""
     r = np.random.default_rng(6)
