@@ -22,6 +22,8 @@ LONGEST = 1024
 _ID, _SHORT = 19, 6
 _NO_PIECE = (1 << _ID) - 1
 _COST, _RANKS = 28, 25
+#: Workers put together and spell out about this many ids at a time, or one document: they share an executor with the JVM.
+_SOME = 1 << 16
 #: Stands for a mark that is no space: no unit of a text can look like this.
 _LITERAL = "\x00" + MARK
 
@@ -176,14 +178,64 @@ def _planes(x: np.ndarray) -> bytes:
     return b"".join([*(packer.compress(cells[i::4].tobytes()) for i in range(4)), packer.flush()])
 
 
-def _from_planes(b: bytes) -> np.ndarray:
-    raw = np.frombuffer(zstandard.decompress(b), np.uint8).reshape(4, -1)
-    out = np.empty((raw.shape[1], 4), np.uint8)
-    for i in range(4):
-        out[:, i] = raw[i]
+def _from_planes(b: pa.Buffer) -> np.ndarray:
+    n = zstandard.get_frame_parameters(b).content_size // 4
+    out = np.empty((n, 4), np.uint8)
+    plane = np.empty(n, np.uint8)
+    with zstandard.ZstdDecompressor().stream_reader(b) as reader:
+        for i in range(4):
+            got = 0
+            while got < n:
+                more = reader.readinto(plane[got:].data)
+                if not more:
+                    raise RuntimeError("packed numbers end early")
+                got += more
+            out[:, i] = plane
     return out.view("<i4").ravel()
 
 
+def _stretches(sizes: np.ndarray):
+    """Neighbouring documents, from and to: 64, of about ``_SOME`` ids, or one of any size."""
+    ends, i = np.cumsum(sizes, dtype=np.int64), 0
+    while i < len(sizes):
+        j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + _SOME, "right")))
+        j = min(j, i + 64)
+        yield i, j
+        i = j
+
+
+class Speller:
+    """The texts of arrays of ids: pieces end to end, marks as spaces but for the first, byte ids as UTF-8."""
+
+    def __init__(self, model_file: str):
+        m = sentencepiece.SentencePieceProcessor(model_file=model_file)
+        table = [bytes([int(m.id_to_piece(i)[3:5], 16)]) if m.is_byte(i) else b"" if m.is_control(i) or m.is_unknown(i) else m.id_to_piece(i).replace(MARK, " ").encode() for i in range(m.get_piece_size())]
+        self.flat = np.frombuffer(b"".join(table), np.uint8)
+        self.size = np.array([len(x) for x in table], np.int64)
+        self.first = np.cumsum(self.size) - self.size
+
+    def texts(self, ids: np.ndarray, sizes: np.ndarray) -> list[str]:
+        """sizes: how many ids each document has."""
+        out = []
+        ends = np.append(0, np.cumsum(sizes, dtype=np.int64))
+        for i, j in _stretches(sizes):
+            raw, to, total = [], [np.zeros(1, np.int64)], 0
+            # a long document takes several turns
+            for a in range(ends[i], ends[j], _SOME):
+                got = ids[a : min(a + _SOME, ends[j])]
+                n = self.size[got]
+                upto = np.cumsum(n)
+                raw.append(self.flat[np.repeat(self.first[got] - (upto - n), n) + np.arange(upto[-1])].tobytes())
+                to.append(upto + total)
+                total += int(upto[-1])
+            whole = b"".join(raw)
+            at = np.concatenate(to)[ends[i : j + 1] - ends[i]].tolist()
+            for a, b in zip(at[:-1], at[1:], strict=True):
+                text = whole[a:b]
+                out.append((text[1:] if text[:1] == b" " else text).decode("utf-8", "replace"))
+        return out
+
+
 def _pack(pieces: list[str], part_bytes: int):
     """Documents by the part: a row of place -1 with their units as numbers, and one for each distinct unit, which asks for its path."""
 
@@ -271,8 +323,8 @@ def _gather():
     return run
 
 
-def _assemble(zero: int):
-    """A row is a part with the answers to it: the ids of each document."""
+def _assemble(zero: int, speller: Speller | None = None):
+    """A row is a part with the answers to it: the ids of each document, and with a speller their text."""
 
     def spelled(ids: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Characters that no piece covers as the ids of their bytes."""
@@ -300,33 +352,37 @@ def _assemble(zero: int):
                 raise RuntimeError("a part has lost some of its units")
             flat = np.concatenate([r[2] for r in replies]) if replies else np.zeros(0, np.int32)
             ends = np.cumsum(counts, dtype=np.int64)
-            for i in range(0, len(counts), 64):  # some documents at a time
-                lo, hi = (ends[i - 1] if i else 0), ends[min(i + 64, len(counts)) - 1]
+            for i, j in _stretches(counts):
+                lo, hi = (ends[i - 1] if i else 0), ends[j - 1]
                 u = seq[lo:hi]
                 size = n[u]
-                got = flat[np.repeat(at[u] - (np.cumsum(size) - size), size) + np.arange(size.sum())]
                 total = np.append(0, np.cumsum(size))
-                off = np.append(0, total[ends[i : i + 64] - lo]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([names.slice(i, 64), pa.ListArray.from_arrays(pa.array(off), pa.array(got.astype(np.int32)))], names=["rk", "ids"])
+                got = flat[np.repeat(at[u] - total[:-1], size) + np.arange(total[-1])].astype(np.int32, copy=False)
+                off = np.append(0, total[ends[i:j] - lo])
+                cells = [names.slice(i, j - i), pa.ListArray.from_arrays(pa.array(off.astype(np.int32)), pa.array(got))]
+                yield pa.RecordBatch.from_arrays([*cells, pa.array(speller.texts(got, np.diff(off)), pa.string())] if speller else cells, names=["rk", "ids", "decoded"][: 2 + bool(speller)])
 
         for batch in batches:
             for i in range(batch.num_rows):
                 names, body, counts, answers = (batch.column(c)[i] for c in ("names", "body", "counts", "answers"))
                 replies = []
                 for answer in answers.values or () if answers.is_valid else ():
-                    sizes, ids = (_from_planes(answer[c].as_py()) for c in ("sizes", "ids"))
+                    sizes, ids = (_from_planes(answer[c].as_buffer()) for c in ("sizes", "ids"))
                     ids, sizes = spelled(ids, sizes.astype(np.int64))
-                    replies.append((np.cumsum(_from_planes(answer["places"].as_py())), sizes, ids))
-                yield from out(names.values, _from_planes(body.as_py()), _from_planes(counts.as_py()), replies)
+                    replies.append((np.cumsum(_from_planes(answer["places"].as_buffer())), sizes, ids))
+                yield from out(names.values, _from_planes(body.as_buffer()), _from_planes(counts.as_buffer()), replies)
                 replies = []
                 give_back()
 
     return run
 
 
-def encode(docs: DataFrame, model_file: str, part_bytes: int = 32 << 20) -> DataFrame:
+def encode(docs: DataFrame, model_file: str, part_bytes: int = 32 << 20, texts: bool = False) -> DataFrame:
     """``doc_id, ids`` of each row of docs (``doc_id, text``): the cheapest path through the piece table.
 
+    texts: a column ``decoded`` more, what ``decode`` makes of the ids. The workers that put the ids together spell them out, so that a task needs
+    no second worker for it.
+
     Spaces count as the mark that pieces have for them, one more stands before the text; a character that no piece covers
     becomes its UTF-8 bytes' ids. Texts are cut where no piece of the table can cross (``Cutter``), so the lattice is built once for each distinct unit of the corpus.
     Documents travel as numbers of units, in parts of about ``part_bytes`` of text; a part asks once for each of its
@@ -339,13 +395,13 @@ def encode(docs: DataFrame, model_file: str, part_bytes: int = 32 << 20) -> Data
     spark = docs.sparkSession
     rows, other, zero = piece_table(model_file)
     key = document_key(docs)
-    texts = docs.select(key.alias("rk"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    rk = texts.schema["rk"].dataType.simpleString()
+    whole = docs.select(key.alias("rk"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    rk = whole.schema["rk"].dataType.simpleString()
     if rk != "bigint":
-        texts = texts.dropDuplicates(["rk"])
+        whole = whole.dropDuplicates(["rk"])
     buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     schema = f"part long, place int, unit string, names array<{rk}>, body binary, counts binary"
-    packed = materialize(texts.select("rk", "text").mapInArrow(_pack([p for p, _, _ in rows], part_bytes), schema), buckets=(buckets, "part"))
+    packed = materialize(whole.select("rk", "text").mapInArrow(_pack([p for p, _, _ in rows], part_bytes), schema), buckets=(buckets, "part"))
     # one exchange by unit serves the lattice and the answers: all three branches read the same columns; many small tasks, as a task's edges are sorted in memory
     asked = packed.where("place >= 0 and unit is not null").select("part", "place", "unit").repartition(4 * buckets, "unit")
     units = asked.groupBy("unit").agg(F.max("part").alias("part"), F.max("place").alias("place"), F.max(F.when(F.col("unit") == _LITERAL, 0).otherwise(F.length("unit"))).alias("n")).where("part is not null and place >= 0")
@@ -356,39 +412,20 @@ def encode(docs: DataFrame, model_file: str, part_bytes: int = 32 << 20) -> Data
     replies = answers.select("part", "place", ids.alias("ids")).sortWithinPartitions("part").mapInArrow(_gather(), "part long, places binary, sizes binary, ids binary")
     replies = replies.groupBy("part").agg(F.collect_list(F.struct("places", "sizes", "ids")).alias("answers"))
     heads = packed.where("place < 0").select("part", "names", "body", "counts")
-    out = heads.join(replies, "part", "left").select("names", "body", "counts", "answers").mapInArrow(_assemble(zero), f"rk {rk}, ids array<int>")
+    results, speller = (["ids", "decoded"], Speller(model_file)) if texts else (["ids"], None)
+    out = heads.join(replies, "part", "left").select("names", "body", "counts", "answers").mapInArrow(_assemble(zero, speller), f"rk {rk}, ids array<int>" + ", decoded string" * texts)
     if rk != "bigint":
-        return docs.select(key.alias("rk"), "doc_id").join(out, "rk").select("doc_id", "ids")
-    return out.select(F.col("rk").alias("doc_id"), "ids")
+        return docs.select(key.alias("rk"), "doc_id").join(out, "rk").select("doc_id", *results)
+    return out.select(F.col("rk").alias("doc_id"), *results)
 
 
 def decode(ids: Column, model_file: str) -> Column:
     """The text of an array of ids: pieces end to end, marks as spaces but for the first, byte ids as UTF-8. Null for null."""
-    m = sentencepiece.SentencePieceProcessor(model_file=model_file)
-    table = [bytes([int(m.id_to_piece(i)[3:5], 16)]) if m.is_byte(i) else b"" if m.is_control(i) or m.is_unknown(i) else m.id_to_piece(i).replace(MARK, " ").encode() for i in range(m.get_piece_size())]
+    speller = Speller(model_file)
 
     @arrow_udf("string")
     def run(col: pa.Array) -> pa.Array:
-        flat = np.frombuffer(b"".join(table), np.uint8)
-        size = np.array([len(x) for x in table], np.int64)
-        first = np.cumsum(size) - size
-        out = []
-        for i in range(0, len(col), 256):
-            part = col.slice(i, 256)
-            got = part.flatten().to_numpy()
-            n = size[got]
-            raw = flat[np.repeat(first[got] - (np.cumsum(n) - n), n) + np.arange(n.sum())].tobytes()
-            ends = np.append(0, np.cumsum(n))
-            at = 0
-            for length in part.value_lengths().to_pylist():
-                if length is None:
-                    out.append(None)
-                    continue
-                text = raw[ends[at] : ends[at + length]]
-                out.append((text[1:] if text[:1] == b" " else text).decode("utf-8", "replace"))
-                at += length
-        made = pa.array(out, pa.string())
-        del out
+        made = pa.array(speller.texts(col.flatten().to_numpy(), col.value_lengths().fill_null(0).to_numpy()), pa.string(), mask=col.is_null().to_numpy(zero_copy_only=False))
         give_back()
         return made
 

@@ -22,6 +22,7 @@ from confluo.llm.language_model import lm_score
 from confluo.llm.licenses import TEMPLATES, patience, scan_licenses
 from confluo.llm.line_dedup import line_dedup
 from confluo.llm.quality import score_quality, train_quality
+from confluo.llm.queries import QUERIES
 from confluo.llm.sentencepiece_lattice import decode, encode
 from confluo.llm.topk import exact_topk
 from tests.llm import helpers as h
@@ -501,6 +502,32 @@ def test_sentencepiece_long_words(spark):
     assert encoded(spark, texts) == [whole_path(t) for t in texts]
 
 
+def test_sentencepiece_one_worker_spells(spark, docs, df):
+    """The query's texts come from the workers that put the ids together: a second one beside each took the executor's memory."""
+    out = encode(df, MODEL, texts=True)
+    rows = out.select("doc_id", "ids", "decoded", decode(F.col("ids"), MODEL).alias("again")).collect()
+    assert {r.doc_id: (r.decoded, r.again) for r in rows} == {i: (t or "", t or "") for i, t in docs.items()}
+    few = encode(spark.createDataFrame([(None, "a b"), (1, None), (1, "c  d"), (1, None)], "doc_id long, text string"), MODEL, texts=True)
+    assert sorted((r.doc_id or -1, r.decoded) for r in few.collect()) == [(-1, "a b"), (1, ""), (1, ""), (1, "c  d")]
+    plan = QUERIES["op10_sentencepiece"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython" not in plan and "MapInArrow" in plan
+
+
+def test_sentencepiece_decodes_in_stretches(spark, monkeypatch):
+    """Null, empty, broken and long arrays of ids, some at a time."""
+    monkeypatch.setattr(sp, "_SOME", 7)
+    m = sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    text = "one two three, four five six seven and some more words after those "
+    ids, e4 = whole_path(text), m.piece_to_id("<0xE4>")
+    want = [(None, None), ([], ""), ([e4], "\ufffd"), (ids, text), (ids * 9, text + (" " + text) * 8), ([], ""), (ids[:1] + [e4], "one\ufffd"), (None, None)]
+    speller = sp.Speller(MODEL)
+    flat, sizes = np.array([x for i, _ in want for x in i or ()], np.int32), np.array([len(i or ()) for i, _ in want])
+    assert speller.texts(flat, sizes) == [t or "" for _, t in want]
+    monkeypatch.undo()
+    rows = spark.createDataFrame([(n, i) for n, (i, _) in enumerate(want)], "n int, ids array<int>").repartition(1)
+    assert {r.n: r.t for r in rows.select("n", decode(F.col("ids"), MODEL).alias("t")).collect()} == {n: t for n, (_, t) in enumerate(want)}
+
+
 def test_sentencepiece_workers_return_memory():
     """A worker that packs holds what its part needs, and not what it has freed: it shares an executor with the JVM and other workers."""
     code = """
