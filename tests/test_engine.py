@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from confluo.operators.components import connected_components
+from confluo.operators import linkage
 from confluo.operators.linkage import block_pairs, cluster, name_block_keys, record_keys
 from confluo.plans.cli import main
 from confluo.plans.merge import merge
@@ -103,6 +104,48 @@ def test_cluster_bounds(spark):
     assert cluster(materialize(from_rows(shared, F.col("i")))).select("component").distinct().count() == 4
 
 
+def test_block_pairs(spark, monkeypatch):
+    """All pairs of blocks that overlap in many ways, each once, also where blocks take many lists and deals; no keys travel with the pairs."""
+    monkeypatch.setattr(linkage, "_LIST", 5)
+    monkeypatch.setattr(linkage, "_LISTS", 2)
+    data = [(i, ["a"] * (i % 4 > 0) + [f"b{i % 3}"] * (i % 5 > 0) + [f"c{i % 7}", f"d{i % 11}"]) for i in range(90)]
+    got = block_pairs(spark.createDataFrame(data, "idx long, ks array<string>"), F.col("ks"))
+    assert got.columns == ["a", "b"]
+    want = sorted((i, j) for i, x in data for j, y in data if i < j and set(x) & set(y))
+    assert sorted(tuple(r) for r in got.collect()) == want
+
+
+def test_cluster_edges_of_one_name(spark):
+    """2,000 records of one name are linked by a few edges each, not by two million pairs; conflicts count as they would pair by pair."""
+    rows = spark.range(2000).selectExpr("id AS i", "'Ilka Stolma' AS name", "CASE WHEN id % 10 > 0 THEN concat('u', id, '@h', id, '.test') END AS email")
+    sigs = materialize(linkage.signatures(record_keys(from_rows(rows, F.col("i")))))
+    assert linkage.name_edges(sigs, linkage.similar_names(sigs)).count() < 3 * 2000
+    assert cluster(materialize(from_rows(rows, F.col("i")))).select("component").distinct().count() == 1
+
+
+def test_name_edges(spark):
+    """The same components as all pairs of similar names that are not in conflict, for random records; the ratio of two names depends on their order."""
+    import random
+    from difflib import SequenceMatcher
+
+    rng = random.Random(5)
+    names = ["ann marie stolm", "ann marei stolm", "anne marie stolm", "ann mari stolmo", "nuno grauski"]
+    for _ in range(2):
+        data = [(i, False, rng.choice(names), [f"m{rng.randrange(9)}"] * (rng.random() < 0.7), [f"p{rng.randrange(9)}"] * (rng.random() < 0.7)) for i in rng.sample(range(100), 14)]
+        sigs = spark.createDataFrame([(*r, [], [], [], r[0], r[0]) for r in data], "idx long, resume boolean, name string, emails array<string>, profiles array<string>, phones array<string>, companies array<string>, titles array<string>, lo long, hi long")
+        strong = linkage.strong_edges(sigs)
+        got = dict(connected_components(strong.unionByName(linkage.name_edges(sigs.drop("idx"), linkage.similar_names(sigs)))).collect())
+        root = {r[0]: r[0] for r in data}
+        for a in data:
+            for b in data:
+                apart = any(a[k] and b[k] and a[k] != b[k] for k in (3, 4))
+                alike = a[2] == b[2] or SequenceMatcher(None, a[2], b[2]).ratio() >= 0.9
+                if a[0] < b[0] and (alike and not apart or a[3] and a[3] == b[3] or a[4] and a[4] == b[4]):
+                    x, y = root[a[0]], root[b[0]]
+                    root = {k: min(x, y) if v in (x, y) else v for k, v in root.items()}
+        assert {k: got.get(k, k) for k in root} == root
+
+
 def test_merge_of_nothing(spark):
     assert merge(empty_partials(spark)).count() == 0
 
