@@ -13,7 +13,7 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
 
     Each round is two grouped minima and two equi-joins, so a node of any degree is pre-aggregated before it is
     shuffled, and the rounds grow with the logarithm of the longest chain. Every round is written to the shared
-    folder, so that a lost executor repeats one round at most. Self edges and nulls are left out.
+    folder, so that a lost executor repeats one round at most. The joins never gather the minima of a round in the driver to broadcast them. Self edges and nulls are left out.
     """
     e = edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).where("a is not null and b is not null and a <> b")
     e = materialize(e.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
@@ -22,10 +22,10 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
         # large star: each larger neighbour of a node moves to the node's smallest neighbour
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = both.where("v > u").join(low.hint("merge"), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         # small star: each smaller neighbour of a node, and the node, move to the smallest of them
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e"))
+        small = large.join(low.hint("merge"), "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e"))
         last, e = e, materialize(small.select("e.u", "e.v").where("u <> v").distinct())
         release(last)
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()

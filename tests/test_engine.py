@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from confluo.operators.components import connected_components
+from confluo.operators.fusion import candidate_ids
 from confluo.operators import linkage
 from confluo.operators.linkage import block_pairs, cluster, name_block_keys, record_keys
 from confluo.plans.cli import main
@@ -13,7 +14,7 @@ from confluo.plans.validation import ProjectedValidationError, assert_valid_proj
 from confluo.sources.combine import combine
 from confluo.sources.recruiter_csv import empty_partials, from_rows, read_csv
 from confluo.sources.resume import parse_resumes
-from confluo.storage import materialize
+from confluo.storage import materialize, spread
 
 CSV = """title,email,name,phone,current_company
 Lead Chemist,runa.holmberg@mail.test,Runa Holmberg,+91 98123 45678,Alder Corp
@@ -164,6 +165,23 @@ def test_components(spark):
     assert got == {**{i: 0 for i in range(41)}, 100: 100, 101: 100}
 
 
+def test_components_stay_out_of_the_driver(spark, monkeypatch):
+    """No join of a round may become a broadcast, however small its minima look."""
+    from confluo.operators import components
+
+    plans = []
+    monkeypatch.setattr(components, "materialize", lambda df: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or materialize(df))
+    connected_components(spark.createDataFrame([(0, 1), (1, 2)], "src long, dst long")).count()
+    assert len(plans) > 1 and all(p.count("strategy=merge") == p.count("Join ") > 0 for p in plans[1:])
+
+
+def test_rows_of_a_task(spark):
+    """Candidate ids make no row for each value, and what a task fuses does not grow with the files that hold it."""
+    members = empty_partials(spark).withColumn("component", F.lit(0).cast("long"))
+    assert "Generate" not in candidate_ids(members)._jdf.queryExecution().optimizedPlan().toString()
+    assert spread(spark.range(0, 20_000, 1, 1), "id").rdd.getNumPartitions() == 5
+
+
 def test_paths():
     assert parse_path("skills[].name") == ["skills", None, "name"]
     assert parse_path("emails[-1]") == ["emails", -1] and parse_path("..a[0][]x.b c.[2]") == ["a", 0, None, "b", 2] and parse_path("a[1.5]") == ["a"] and parse_path("") == []
